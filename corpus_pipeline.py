@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftwell.llm import quality, runtime
+from shiftwell.llm import bpe, decontaminate, neardup, quality, runtime, substring
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -17,8 +17,36 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
 
 
-STAGES = [("quality classifier", quality_stage)]
-#: The classifier's fit has no SQL form.
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id; rows without an id stay."""
+    found = neardup.near_duplicates(docs)
+    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one holds; n_chars follows the text."""
+    return substring.deduplicate(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated with the benchmark."""
+    found = decontaminate.digest(decontaminate.hits(docs, runtime.read(spark, sf_dir, "benchmark")))
+    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids (packed little-endian 32-bit) of every document, their number, and whether decoding gives the text back."""
+    return bpe.encode_checked(docs, bpe.default_path())
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
+    ("substring dedup", substring_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("BPE encoding and decoding", encoding_stage),
+]
+#: The classifier's fit, XXH64 and BPE have no SQL form.
 ORACLE_SQL = None
 
 

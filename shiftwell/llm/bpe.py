@@ -321,10 +321,11 @@ def prepare(docs: DataFrame, path: str, limit: int = LEXICON) -> str:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", limit: int = LEXICON) -> DataFrame:
     """(id, ids: packed little-endian 32-bit, decoded text) for every row of docs; path: the tokenizer's file, on every machine."""
     name = prepare(docs, path, limit)
-    return _map(docs, path, name, id_col, "ids binary, decoded string", lambda ids, text: (pa.array(ids, pa.binary()), pa.array(text, pa.string())))
+    return _map(docs, path, name, id_col, "ids binary, decoded string", lambda ids, decoded, text: (pa.array(ids, pa.binary()), pa.array(decoded, pa.string())))
 
 
 def _map(docs: DataFrame, path: str, name: str, id_col: str, fields: str, form) -> DataFrame:
+    """(id, fields) for every row; form(ids, decoded texts, texts) makes the fields' arrays."""
     names = [id_col, *(f.split()[0] for f in fields.split(", "))]
 
     def run(it):
@@ -332,16 +333,17 @@ def _map(docs: DataFrame, path: str, name: str, id_col: str, fields: str, form)
         for b in it:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                ids = enc.encode([x or "" for x in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), *form(ids, [enc.decode(i) for i in ids])], names)
+                text = [x or "" for x in part.column(1).to_pylist()]
+                ids = enc.encode(text)
+                yield pa.RecordBatch.from_arrays([part.column(0), *form(ids, [enc.decode(i) for i in ids], text)], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col("text").cast("string")).mapInArrow(run, f"{id_col} {kind}, {fields}")
 
 
-def _digest(ids: list[bytes], text: list[str]):
+def _digest(ids: list[bytes], decoded: list[str], text: list[str]):
     sha = lambda x: hashlib.sha256(x).hexdigest()
-    return pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([sha(i) for i in ids]), pa.array([sha(t.encode("utf-8", "replace")) for t in text])
+    return pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([sha(i) for i in ids]), pa.array([sha(t.encode("utf-8", "replace")) for t in decoded])
 
 
 def encode_digest(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -349,6 +351,15 @@ def encode_digest(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFra
     return _map(docs, path, prepare(docs, path), id_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digest)
 
 
+def _checked(ids: list[bytes], decoded: list[str], text: list[str]):
+    return pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([d == t for d, t in zip(decoded, text, strict=True)])
+
+
+def encode_checked(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+    """n_tokens, ids and whether the decoded ids give the text back (exact)."""
+    return _map(docs, path, prepare(docs, path), id_col, "n_tokens long, ids binary, exact boolean", _checked)
+
+
 def default_path() -> str:
     import public_tokenizers
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, neardup, quality, rules, substring, toxicity
+from . import bpe, chat, decontaminate, langid, neardup, quality, rules, substring, toxicity, urlfilter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_quality_rules": rules.op4_quality_rules,
     "op5_substring_dedup": substring.op5_substring_dedup,
+    "op6_url_filter": urlfilter.op6_url_filter,
     "op7_bpe": bpe.op7_bpe,
+    "op8_chat": chat.op8_chat,
     "op9_langid": langid.op9_langid,
     "op10_simhash": neardup.op10_simhash,
 }
@@ -18,4 +20,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op3_decontamination": decontaminate.ORACLE_SQL,
     "op5_substring_dedup": substring.ORACLE_SQL,
+    "op6_url_filter": urlfilter.ORACLE_SQL,
+    "op8_chat": chat.ORACLE_SQL,
 }

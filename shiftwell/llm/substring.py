@@ -361,9 +361,27 @@ def apply(docs: DataFrame, form, fields: str, id_col: str = "doc_id") -> DataFra
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, text of the kept words joined by one space, n_words, n_removed) for every row of docs."""
-    form = lambda words, kept: (b" ".join(kept).decode(), len(words), len(words) - len(kept))
-    return apply(docs, form, "text string, n_words long, n_removed long", id_col).withColumnRenamed("doc", id_col)
+    """docs with the kept words, joined by one space, as text; texts that lose nothing stay as they are, as do all other columns."""
+    own = docs.schema
+
+    def run(it):
+        at = own.fieldNames().index("text")
+        for batch in it:
+            text = []
+            for t, ranges in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if t and ranges:
+                    words = t.encode().split()
+                    gone = np.zeros(len(words), bool)
+                    for a, b in ranges:
+                        gone[a:b] = True
+                    t = b" ".join([words[k] for k in np.flatnonzero(~gone)]).decode() if gone.any() else t
+                text.append(t)
+            cols = batch.columns[:-1]
+            cols[at] = pa.array(text, batch.column(at).type)
+            yield pa.RecordBatch.from_arrays(cols, own.fieldNames())
+
+    ranges = removed(docs, id_col).withColumnRenamed("ranges", "_ranges").withColumnRenamed("doc", "_doc")
+    return docs.join(ranges, F.col(id_col).cast("long") == F.col("_doc"), "left").select(*own.fieldNames(), "_ranges").mapInArrow(run, own)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
