@@ -144,8 +144,12 @@ def _scan(index: Index, col: pa.Array):
 def _blocks(benchmark: DataFrame) -> list[Index]:
     own = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("string").alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-2 * size // BLOCK_BYTES)) if size > BLOCK_BYTES else 1
-    return [Index.of(*(list(x) for x in zip(*[(r["name"], r["text"]) for r in own.where(F.pmod(F.xxhash64("name"), F.lit(n)) == k).collect()], strict=True)) or ([], [])) if size else Index.of([], []) for k in range(n)]
+    n = -(-2 * size // BLOCK_BYTES) if size > BLOCK_BYTES else 1
+    blocks = []
+    for k in range(n):
+        rows = own.where(F.pmod(F.xxhash64("name"), F.lit(n)) == k).collect()  # about half of BLOCK_BYTES
+        blocks.append(Index.of([r["name"] for r in rows], [r["text"] for r in rows]))
+    return blocks
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:

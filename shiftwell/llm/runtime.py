@@ -55,9 +55,9 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(at))
 
 
-def remainder(doc_id: Column | str, k: int) -> Column:
-    """crc32 of the id as text, modulo k."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")), F.lit(k))
+def remainder(doc_id: str, k: int) -> Column:
+    """crc32 of the id as text (a null id: of the empty text), modulo k."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(k))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

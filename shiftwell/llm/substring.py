@@ -113,7 +113,9 @@ def judge(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarr
 def _by_doc(c_doc: np.ndarray, claims: np.ndarray, r_doc: np.ndarray, refs: np.ndarray) -> list:
     out = []
     for doc, packed, k in ((c_doc, claims, 0), (r_doc, refs, 1)):
-        edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+        if not len(doc):
+            continue
+        edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         for a, b in zip(edge, np.r_[edge[1:], len(doc)], strict=True):
             out.append((int(doc[a]), packed[a:b].tobytes() if k == 0 else b"", packed[a:b].tobytes() if k == 1 else b""))
     return out

@@ -18,7 +18,8 @@ the corpus.  A longer list is joined by key instead, with the same results.
 Defined results: host and path are empty for a null URL or one without
 ``://``; such URLs get the default; rules that are listed twice count once, if
 with either verdict, block wins; ties in length go to the larger rule as text;
-repeated pages are judged each; empty tables give empty results.
+repeated pages are judged each; a page's columns that are named like a result
+give way to it; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -124,7 +125,8 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame
     """pages with host, path, rule (text or null) and verdict; rules: host, path, verdict (allow or block)."""
     listed = runtime.cut(rules.where("host is not null and path is not null").select(F.concat("host", "path").alias("key"), F.length("path").alias("n"), "verdict").distinct())
     lengths = sorted(r["n"] for r in listed.select("n").distinct().collect())
-    parsed = pages.select("*", host(F.col(url_col)).alias("_host"), path(F.col(url_col)).alias("_path"))
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "_host", "_path", "_best")]
+    parsed = pages.select(*kept, host(F.col(url_col)).alias("_host"), path(F.col(url_col)).alias("_path"))
     keys = candidates(F.col("_host"), F.col("_path"), lengths) if lengths else F.expr("cast(array() as array<string>)")
     if listed.count() > MAX_KEYS:
         best = _joined(parsed, listed, keys)
@@ -136,7 +138,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame
             if cascade.levels:
                 found.append(F.transform(F.filter(keys, cascade.lists), _named(verdict)))
         best = parsed.withColumn("_best", F.array_max(F.concat(*found)) if found else F.expr("cast(null as struct<n: int, rule: string, verdict: string>)"))
-    return best.select(*pages.columns, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit("allow")).alias("verdict"))
+    return best.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit("allow")).alias("verdict"))
 
 
 def _joined(parsed: DataFrame, listed: DataFrame, keys: Column) -> DataFrame:
