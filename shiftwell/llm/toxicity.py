@@ -4,7 +4,7 @@ A word is the bag of its byte 3- to 5-grams (with the boundaries), hashed into
 BUCKETS rows of an embedding table; its vector is their mean.  A passage of
 WINDOW words is the mean of its words, and a linear softmax over that mean
 gives its class.  Embeddings and softmax are trained jointly in numpy.  A
-word that repeats one of the 23 before it is left out of the passages.  A
+word that repeats one of the 23 before it, or has no letter, is left out of the passages.  A
 document is as toxic as its most toxic passage, so that a few words in a long
 text count.
 
@@ -108,14 +108,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -500, 500)))
 
 
+def lettered(w: tn.Words) -> np.ndarray:
+    """Which words have a letter; numbers say nothing."""
+    sums = np.zeros(len(w.data) + 1, np.int64)
+    np.cumsum(w.data >= 0x61, out=sums[1:])
+    return sums[w.end] > sums[w.start]
+
+
 def fresh(w: tn.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Words that differ from the LOOK_BACK words before them in the document, and the documents' first ones among them."""
+    """Words with a letter that differ from the LOOK_BACK words before them in the document, and the documents' first ones among them."""
     h, doc = w.hashes(), w.doc
     h = h + doc.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
     old = np.zeros(len(h), bool)
     for k in range(1, min(LOOK_BACK + 1, len(h))):
         old[k:] |= h[k:] == h[:-k]
-    keep = np.flatnonzero(~old)
+    keep = np.flatnonzero(~old & lettered(w))
     return keep, np.searchsorted(keep, w.first)
 
 
@@ -146,7 +153,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3, epochs: int = 70) -> M
     kinds, where, typ = np.unique(w.hashes(), return_index=True, return_inverse=True)
     fits = np.arange(n) % 5 != 4
     pair = np.unique(typ.astype(np.int64) * n + w.doc)
-    pair = pair[fits[pair % n]]
+    pair = pair[fits[pair % n] & lettered(w)[where][pair // n]]
     weight = np.stack([np.bincount((pair // n)[y[pair % n] == c], minlength=len(kinds)) / max((fits & (y == c)).sum(), 1) for c in (0, 1)], 1)
     # subwords of each distinct word
     length = w.end[where] - w.start[where]
