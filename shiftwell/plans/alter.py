@@ -198,5 +198,6 @@ def apply_to(spec: TableSpec, alter: Alter) -> TableSpec:
 
 
 def instant(alter: Alter) -> bool:
-    """Can the change be made in the schema alone: new nullable columns at the end, or renames?"""
-    return bool(alter.changes) and all((c.kind == "add" and c.place is None and read_type(c.name, c.definition).nullable and read_type(c.name, c.definition).generated is None) or c.kind == "rename" for c in alter.changes)
+    """Can the change be made in the schema alone: new columns at the end that are null in old rows?"""
+    new = [read_type(c.name, c.definition) if c.kind == "add" and c.place is None else None for c in alter.changes]
+    return bool(new) and all(c is not None and c.nullable and c.default is None and c.generated is None for c in new)

@@ -12,6 +12,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 class TableStore:
@@ -45,7 +46,10 @@ class TableStore:
         m = self.manifest()
         if m is None:
             raise FileNotFoundError(f"no table {self.name}")
-        return self.spark.read.parquet(f"{self.at}/data/{version or m['version']}")
+        reader = self.spark.read
+        if version is None and m.get("schema"):  # changed without a rewrite: new columns are null in old files
+            reader = reader.schema(T.StructType.fromJson(m["schema"]))
+        return reader.parquet(f"{self.at}/data/{version or m['version']}")
 
     def write_version(self, df: DataFrame) -> str:
         """A new version's data, which nothing names yet."""

@@ -128,7 +128,7 @@ def test_refused_keys(s, statement, why):
 
 
 def test_instant():
-    assert alter.instant(alter.parse("add column x int")) and not alter.instant(alter.parse("drop column x")) and not alter.instant(alter.parse("add column x int not null default 1"))
+    assert alter.instant(alter.parse("add column x int")) and not alter.instant(alter.parse("rename column a to b")) and not alter.instant(alter.parse("drop column x")) and not alter.instant(alter.parse("add column x int not null default 1"))
 
 
 def test_names_and_options():
