@@ -102,7 +102,7 @@ def links(nodes: DataFrame, most: int = BITS) -> DataFrame:
 
         return nodes.select("fp").mapInArrow(run, "part int, value long, fp long")
 
-    index, probe = keys(False), keys(True)
+    index, probe = runtime.stored(keys(False)), runtime.stored(keys(True))  # read several times
     hot = runtime.cut(index.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
     cold = index.join(hot.select("part", "value"), ["part", "value"], "left_anti").withColumnRenamed("fp", "y")
     pairs = probe.withColumnRenamed("fp", "x").join(cold, ["part", "value"]).where("x < y").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most)
