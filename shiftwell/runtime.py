@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; an own one only where it is unset (tests)."""
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="shiftwell-")
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="shiftwell-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at.rstrip("/")
