@@ -147,3 +147,26 @@ def test_checksums(spark):
     b = spark.createDataFrame([(2, None), (1, "x")], "i int, s string")
     assert checks.same_rows(a, b, ["i", "s"], ["i", "s"]).first()["equal"]
     assert not checks.same_rows(a, b.union(b), ["i", "s"], ["i", "s"]).first()["equal"]
+
+
+def test_resume_after_an_abort(spark, stores):
+    source, target = stores
+    ev, want = events(7)
+    calls = []
+
+    def gate():
+        calls.append(1)
+        if len(calls) == 6:
+            raise RuntimeError("lost")
+
+    o = Options(chunk_size=25, max_retries=1)
+    o.checkpoint_seconds = 0  # after every chunk
+    m = Migration(source, target, SPEC, "add column tier int not null default 3", o, gate=gate)
+    with pytest.raises(RuntimeError, match="lost"):
+        m.run(log_of(spark, ev), chunked=True)
+    last = m.last_checkpoint()
+    assert last.iteration == 5 and last.rows_copied == 125 and not last.is_cutover
+    again = Migration(source, target, SPEC, "add column tier int not null default 3", o)
+    again.run(log_of(spark, ev), chunked=True, resume=True)
+    assert {tuple(r) for r in source.read().collect()} == {(*r, 3) for r in want.values()}
+    assert again.state.rows_copied == 200
