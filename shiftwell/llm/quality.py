@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import runtime
 from .stats import FEATURES, document_stats
 
-FIT_ROWS = 40_000  # labelled rows that are learnt from, at most
+FIT_ROWS = 40_000  # labelled rows that are learnt from, about
 FIT_PARTS = 8
 
 
@@ -68,11 +68,10 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(stats: DataFrame, labels: DataFrame, target: str, rule: Column, pairs: int = 128, ridge: float = 1e-3, seed: int = 7, limit: int = FIT_ROWS) -> RffModel:
-    """Fit on at most ``limit`` labelled rows for which ``rule`` holds (those with the smallest hashes of their ids)."""
-    y = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(target) >= 0.5).cast("int").alias("y"))
-    key = F.xxhash64(F.col("doc_id").cast("string"))
-    rows = stats.where(rule).join(y, "doc_id").select("doc_id", "stats", "y", key.alias("k"))
-    rows = runtime.cut(rows.orderBy("k", "doc_id").limit(limit).repartition(FIT_PARTS, "k"))
+    """Fit on about ``limit`` labelled rows for which ``rule`` (over doc_id) holds, chosen by the hash of their ids."""
+    y = runtime.sampled(runtime.labels_of(labels, target, rule), "doc_id", limit)
+    rows = stats.join(y, "doc_id").select("doc_id", "stats", "y", F.xxhash64(F.col("doc_id").cast("string")).alias("k"))
+    rows = runtime.cut(rows.repartition(FIT_PARTS, "k"))
     moments = rows.select(F.posexplode("stats"), "y").groupBy("pos").agg(F.avg("col").alias("m"), F.stddev_pop("col").alias("s"), F.count("*").alias("n"), F.avg("y").alias("y"), F.sum("y").alias("ones")).orderBy("pos").collect()
     d = len(FEATURES)
     if not moments or moments[0]["ones"] in (0, moments[0]["n"]):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import runtime
 from .stats import COUNTS, FEATURES, document_stats, labelled_sample
 
-FIT_ROWS = 40_000  # labelled rows that are learnt from, at most
+FIT_ROWS = 40_000  # labelled rows that are learnt from, about
 #: Direction in which the score may move as the statistic grows.
 MONOTONE = {"symbols": -1, "pipes": -1, "shouts": -1, "repeat_words": -1, "dup_lines": -1, "same_next": -1, "lone_marks": -1, "distinct_words": 1}
 

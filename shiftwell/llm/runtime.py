@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_STORED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; an own one only where it is unset (tests)."""
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="shiftwell-"))
         at = sc.getCheckpointDir()
@@ -36,6 +37,7 @@ def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    _STORED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,5 +62,19 @@ def remainder(doc_id: str, k: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(k))
 
 
+def sampled(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """About ``limit`` rows of df, all if it has no more: those whose key's hash is below a threshold, so that nothing is sorted or gathered."""
+    n = df.count()
+    if n <= limit:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * limit / n))
+
+
+def labels_of(labels: DataFrame, target: str, rule: Column) -> DataFrame:
+    """(doc_id, y) of the labels that may be learnt from; an id with several labels takes their rounded mean."""
+    own = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & rule)
+    return own.groupBy("doc_id").agg((F.avg(target) >= 0.5).cast("int").alias("y"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

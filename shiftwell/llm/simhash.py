@@ -25,7 +25,9 @@ def fingerprint(words: list[bytes]) -> int:
     end = (first + size)[2:].tolist()
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(text[a:b], SEED) for a, b in zip(first.tolist(), end)], np.uint64)
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(h), 65536):  # the bits of a long text, part by part
+        ones += np.unpackbits(h[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 

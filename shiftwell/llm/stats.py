@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import runtime
 from . import textnp as tn
 
 SYMBOLS = np.zeros(256, bool)
@@ -114,15 +115,12 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, target: str, rule, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of at most ``limit`` labelled rows, those with the smallest hashes of their ids.
+    """Statistics and labels of about ``limit`` labelled rows, chosen by the hash of their ids.
 
-    ``rule`` is a Column that holds for the rows that may be learnt from.  An
-    id with several labels takes the rounded mean, null labels are ignored.
+    ``rule`` is a Column over doc_id that holds for the rows that may be learnt from.
     """
-    y = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(target) >= 0.5).cast("int").alias("y"))
-    rows = stats.where(rule).join(y, "doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(limit).select("stats", "y")
-    got = rows.toArrow()
+    y = runtime.sampled(runtime.labels_of(labels, target, rule), "doc_id", limit)
+    got = stats.join(y, "doc_id").select("stats", "y", "doc_id").toArrow().sort_by("doc_id")
     if not got.num_rows:
         return np.zeros((0, len(FEATURES)), np.float32), np.zeros(0, np.int64)
-    x = np.array(got["stats"].to_pylist(), np.float32)
-    return x, got["y"].to_numpy().astype(np.int64)
+    return np.array(got["stats"].to_pylist(), np.float32), got["y"].to_numpy().astype(np.int64)

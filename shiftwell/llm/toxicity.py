@@ -33,7 +33,7 @@ BUCKETS = 1 << 17
 DIM = 4
 WINDOW, STEP = 4, 2
 LOOK_BACK = 23
-FIT_ROWS = 2500  # labelled rows of each class that are learnt from, at most
+FIT_ROWS = 2500  # labelled rows of each class that are learnt from, about
 FIT_BYTES = 2_500_000  # and so much text of each class (whole texts)
 _SPACE = 0x20
 _CLEAN = np.full(256, _SPACE, np.uint8)
@@ -223,11 +223,11 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rule: Column, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> tuple[list[str], np.ndarray]:
-    """Whole texts and labels of at most ``rows`` documents and ``size`` bytes of each class, those with the smallest hashes of their ids."""
-    y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & rule).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
+    """Whole texts and labels of about ``rows`` documents and at most ``size`` bytes of each class, chosen by the hash of their ids."""
+    y = runtime.labels_of(labels, "toxic", rule)
+    some = runtime.sampled(y.where("y = 1"), "doc_id", rows).union(runtime.sampled(y.where("y = 0"), "doc_id", rows))
     key = F.xxhash64(F.col("doc_id").cast("string"))
-    some = y.where("y = 1").orderBy(key, "doc_id").limit(rows).union(y.where("y = 0").orderBy(key, "doc_id").limit(rows))
-    own = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")  # 2 * rows ids
+    own = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")  # about 2 * rows ids
     upto = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(key, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
     got = own.withColumn("upto", upto).where(F.col("upto") <= size).orderBy(key, "doc_id", "text").select("text", "y").toArrow()
     return got["text"].to_pylist(), np.array(got["y"].to_pylist(), np.int64)
