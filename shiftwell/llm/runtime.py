@@ -42,8 +42,22 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: texts are long, and a batch lies in memory on both sides.
+BATCH_ROWS = 2000
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what ``stored`` has written, once no result that was made from it is needed any more."""
+    while _STORED:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once for each application."""
+    """Send the package to the executors, once for each application; keep Arrow batches of texts small, unless the session says otherwise."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, "10000") == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
     if sc.applicationId in _SHIPPED:
         return

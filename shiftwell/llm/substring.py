@@ -36,8 +36,8 @@ from . import runtime
 from . import textnp as tn
 
 LENGTH, ANCHOR = 20, 6
-FLUSH = 1_000_000  # windows that a task holds before it hands them on
-BUCKET_BYTES, SHARD_BYTES = 8_000_000, 2_000_000  # text for each bucket and shard
+FLUSH = 300_000  # windows that a task holds before it hands them on
+BUCKET_BYTES, SHARD_BYTES = 4_000_000, 2_000_000  # text for each bucket and shard
 SALT_AT = 1024  # references to one window for each copy of it
 _LOW40 = np.uint64((1 << 40) - 1)
 
@@ -129,7 +129,7 @@ def _rows(bucket, blob, spans) -> pa.RecordBatch:
     n, m = len(bucket), len(spans)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([*bucket, *[int(d) & 0xFFFF for d, _, _ in spans]], pa.int32()), pa.array([*blob, *[None] * m], pa.binary()), pa.array([*[None] * n, *[d for d, _, _ in spans]], pa.int64()),
+            pa.array([*bucket, *[int(d) & 0x7FFFFFFF for d, _, _ in spans]], pa.int32()), pa.array([*blob, *[None] * m], pa.binary()), pa.array([*[None] * n, *[d for d, _, _ in spans]], pa.int64()),
             pa.array([*[None] * n, *[c for _, c, _ in spans]], pa.binary()), pa.array([*[None] * n, *[r for _, _, r in spans]], pa.binary()),
         ],
         [x.split()[0] for x in NOMINATED.split(", ")],
@@ -150,13 +150,12 @@ def _nominate(buckets: int):
         runs["doc"], runs["start"], runs["tag"], runs["n"] = doc[at], start[at], tag[at], np.diff(np.r_[at, len(doc)])
         low, high = (key & np.uint64(0xFFFFFFFF)).astype("<u4"), ((key >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8)
         out, blobs = [], []
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        run_cut = np.searchsorted(bucket[at], np.arange(buckets + 1)) if len(at) else np.zeros(buckets + 1, np.int64)
-        for b in range(buckets):
-            if cut[b + 1] > cut[b]:
-                r = runs[run_cut[b] : run_cut[b + 1]]
-                out.append(b)
-                blobs.append(np.int64(len(r)).tobytes() + r.tobytes() + low[cut[b] : cut[b + 1]].tobytes() + high[cut[b] : cut[b + 1]].tobytes())
+        run_bucket = bucket[at]
+        for b in np.unique(bucket).tolist():  # only buckets that have windows
+            lo, hi = np.searchsorted(bucket, [b, b + 1])
+            r = runs[slice(*np.searchsorted(run_bucket, [b, b + 1]))]
+            out.append(b)
+            blobs.append(np.int64(len(r)).tobytes() + r.tobytes() + low[lo:hi].tobytes() + high[lo:hi].tobytes())
         return _rows(out, blobs, spans)
 
     def run(it):

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: Odd multipliers of the byte and word polynomials (fixed values, any odd numbers do).
 BYTE_MUL, WORD_MUL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
