@@ -37,7 +37,8 @@ from . import runtime
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPLITTER = pre_tokenizers.ByteLevel(add_prefix_space=False)
 LEXICON = 50_000  # words compiled into the transducer, at most
-CACHE = 150_000  # words that a worker remembers, at most
+CACHE = 100_000  # words that a worker remembers, at most
+TABLE = 100_000  # words that a task counts at once, at most
 LONG = 256  # longer pre-tokens aren't remembered
 
 
@@ -275,11 +276,12 @@ def frequent(docs: DataFrame, path: str, limit: int = LEXICON) -> list[str]:
     def count(it):
         vocab, table, floor = _vocabulary(path), Counter(), 0
         for b in it:
-            for t in b.column(0).to_pylist():
-                for p, _ in vocab.pieces(t or ""):
-                    table.update(vocab.split(p))
-                if len(table) > 400_000:
-                    while len(table) > 200_000:
+            for k in range(0, b.num_rows, 256):
+                for t in b.column(0).slice(k, 256).to_pylist():
+                    for p, _ in vocab.pieces(t or ""):
+                        table.update(vocab.split(p))
+                if len(table) > TABLE:
+                    while len(table) > TABLE // 2:
                         floor += 1
                         table = Counter({w: n for w, n in table.items() if n > floor})
         got = [(w, n) for w, n in table.items() if n > max(floor, 1)]
