@@ -267,7 +267,7 @@ class Encoder:
 
 
 def frequent(docs: DataFrame, path: str, limit: int = LEXICON) -> list[str]:
-    """The words with the largest counts over all texts; ties in order of the words.
+    """The words with the largest counts over all texts, ``limit`` at most (classes of about equal counts come whole).
 
     A task keeps a bounded table: when it is full, words seen least are
     dropped, so that counts of rare words may fall short (lossy counting).
@@ -288,7 +288,17 @@ def frequent(docs: DataFrame, path: str, limit: int = LEXICON) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], ["word", "n"])
 
     counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(limit).select("word").collect()]
+    counted = runtime.stored(counted.withColumn("size", F.floor(F.log2("n") * 16).cast("int")))
+    # how many words there are of each size class tells from which class on they fit; only those reach the driver
+    room, least = limit, None
+    for r in counted.groupBy("size").count().orderBy(F.desc("size")).collect():  # at most 16 x 64 classes
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["size"]
+    if least is None:
+        return []
+    return [r["word"] for r in counted.where(F.col("size") >= least).orderBy(F.desc("n"), "word").select("word").collect()]
 
 
 _VOCABS: dict[str, Vocabulary] = {}
