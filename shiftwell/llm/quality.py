@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
-from .stats import FEATURES, document_stats
+from .stats import FEATURES, document_stats, matrix
 
 FIT_ROWS = 40_000  # labelled rows that are learnt from, about
 FIT_PARTS = 8
@@ -98,13 +98,13 @@ def fit(stats: DataFrame, labels: DataFrame, target: str, rule: Column, pairs: i
         yield pd.DataFrame({"a": [a.tobytes()], "b": [b.tobytes()]})
 
     ones = float(moments[0]["y"])
-    parts = rows.mapInPandas(sums, "a binary, b binary").collect()  # FIT_PARTS rows of fixed size
+    parts = rows.coalesce(FIT_PARTS).mapInPandas(sums, "a binary, b binary").collect()  # FIT_PARTS rows of fixed size
     a = sum(np.frombuffer(p["a"]).reshape(size, size) for p in parts)
     b = sum(np.frombuffer(p["b"]) for p in parts)
     model.beta = np.linalg.solve(a + ridge * max(np.trace(a) / size, 1e-9) * np.eye(size), b)
     # calibrated on the rows that the fit did not see; all rows if those have one class only
     held = rows.select("stats", "y", (F.col("k") % 5 == 0).alias("out")).toArrow()
-    x, t, out = np.array(held["stats"].to_pylist(), np.float32), held["y"].to_numpy(), held["out"].to_numpy(zero_copy_only=False)
+    x, t, out = matrix(held["stats"]), held["y"].to_numpy(), held["out"].to_numpy(zero_copy_only=False)
     if len(set(t[out])) < 2:
         out = np.ones(len(t), bool)
     model.knots, model.values = isotonic(model.raw(x[out]), t[out].astype(float))

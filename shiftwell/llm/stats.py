@@ -114,6 +114,12 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return own.mapInArrow(_batches, T.StructType([own.schema["doc_id"], *SCHEMA.fields]))
 
 
+def matrix(col: pa.ChunkedArray) -> np.ndarray:
+    """Rows of statistics as a matrix."""
+    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in col.chunks]
+    return np.concatenate([*parts, np.zeros(0, np.float32)]).reshape(-1, len(FEATURES)).astype(np.float32)
+
+
 def labelled_sample(stats: DataFrame, labels: DataFrame, target: str, rule, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and labels of about ``limit`` labelled rows, chosen by the hash of their ids.
 
@@ -123,4 +129,4 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, target: str, rule, limi
     got = stats.join(y, "doc_id").select("stats", "y", "doc_id").toArrow().sort_by("doc_id")
     if not got.num_rows:
         return np.zeros((0, len(FEATURES)), np.float32), np.zeros(0, np.int64)
-    return np.array(got["stats"].to_pylist(), np.float32), got["y"].to_numpy().astype(np.int64)
+    return matrix(got["stats"]), got["y"].to_numpy().astype(np.int64)
