@@ -173,6 +173,14 @@ def insert_ignore_duplicates(spark, d):
     return insert_ignore(li.where("l_quantity > 45"), rows, ["l_orderkey", "l_linenumber"])
 
 
+@query("""SELECT a.l_orderkey, a.l_linenumber, a.l_partkey FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) a
+LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber, true AS there FROM lineitem WHERE l_quantity > 45) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE b.there IS NULL""")
+def insert_ignore_whole_table(spark, d):
+    """As insert_ignore_duplicates, over all of lineitem's keys."""
+    li = table(spark, d, "lineitem")
+    return insert_ignore(li.where("l_quantity > 45"), li.select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey", "l_linenumber"])
+
+
 # -- change data capture: events are a log by user_id in the order of event_id
 
 
