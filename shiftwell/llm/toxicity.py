@@ -13,7 +13,10 @@ whole texts are scored by table lookups and running sums over their bytes.
 
 Defined results: a null text, an empty one or one without a word gets the
 score of an empty bag (below 0.5); repeated rows are scored each; without
-labels of both classes every score is the smoothed share of label 1.
+labels of both classes every score is the smoothed share of label 1.  Labelled
+texts of more than LONG_BYTES are learnt from last, the shorter ones first, as
+far as FIT_BYTES has room for them; a class whose chosen texts are all longer
+than FIT_BYTES counts as one without labels.  All texts are scored.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ WINDOW, STEP = 4, 2
 LOOK_BACK = 23
 FIT_ROWS = 2500  # labelled rows of each class that are learnt from, about
 FIT_BYTES = 2_500_000  # and so much text of each class (whole texts)
+LONG_BYTES = FIT_BYTES // 10  # longer texts come after all others, so that one costs no other text its place
 _SPACE = 0x20
 _CLEAN = np.full(256, _SPACE, np.uint8)
 _CLEAN[tn.ALNUM] = np.arange(256, dtype=np.uint8)[tn.ALNUM]
@@ -223,12 +227,13 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rule: Column, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> tuple[list[str], np.ndarray]:
-    """Whole texts and labels of about ``rows`` documents and at most ``size`` bytes of each class, chosen by the hash of their ids."""
+    """Whole texts and labels of about ``rows`` documents and at most ``size`` bytes of each class, chosen by the hash of their ids; long ones last."""
     y = runtime.labels_of(labels, "toxic", rule)
     some = runtime.sampled(y.where("y = 1"), "doc_id", rows).union(runtime.sampled(y.where("y = 0"), "doc_id", rows))
     key = F.xxhash64(F.col("doc_id").cast("string"))
     own = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")  # about 2 * rows ids
-    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(key, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    long = F.when(F.octet_length("text") > LONG_BYTES, F.octet_length("text")).otherwise(0)
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(long, key, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
     got = own.withColumn("upto", upto).where(F.col("upto") <= size).orderBy(key, "doc_id", "text").select("text", "y").toArrow()
     return got["text"].to_pylist(), np.array(got["y"].to_pylist(), np.int64)
 
