@@ -34,7 +34,7 @@ from . import textnp as tn
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 4
-WINDOW, STEP = 4, 2
+WINDOW, STEP = 4, 1
 LOOK_BACK = 23
 FIT_ROWS = 2500  # labelled rows of each class that are learnt from, about
 FIT_BYTES = 2_500_000  # and so much text of each class (whole texts)

@@ -24,3 +24,14 @@ def test_long_text_costs_only_itself(spark, size):
     assert all(sum(len(t) for t, c in zip(texts, y, strict=True) if c == k) <= toxicity.FIT_BYTES for k in (0, 1))
     got = {r.doc_id: r.score >= 0.5 for r in toxicity.detect(docs, labels, F.lit(True)).collect()}
     assert got == {i: i % 2 == 1 for i in ids}
+
+
+def test_passages_start_at_every_word():
+    rng = np.random.default_rng(2)
+    plain = sorted({"".join(rng.choice(list("aeiortns"), 5)) for _ in range(300)})
+    bad = ["grumblor", "snarkwit", "blorfface", "vexnoggin"]
+    y = np.arange(200) % 2
+    m = toxicity.train([" ".join([*rng.choice(plain, 20), *(bad if k else []), *rng.choice(plain, 20)]) for k in y], y, epochs=40)
+    runs = [" ".join([*plain[:k], *bad, *plain[k:30]]) for k in range(8)]
+    z = m.margins(*stats.tn.buffers(stats.pa.array([*runs, " ".join(bad)])))
+    assert np.allclose(z, z[-1])
