@@ -11,16 +11,22 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores 0.5 or more; labels of a third of the ids are never learnt from."""
-    scored = quality.classify(docs, runtime.read(spark, sf_dir, "labels"), runtime.remainder("doc_id", 3) != 1)
-    rejected = scored.where(F.col("score") < 0.5).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that the quality classifier scores 0.5 or more; labels of a third of the ids are never learnt from.
+
+    Each row is judged by its own text, also without an id or with an id that comes twice.
+    """
+    scored = quality.classify_rows(docs.select(*COLUMNS), runtime.read(spark, sf_dir, "labels"), runtime.remainder("doc_id", 3) != 1)
+    return scored.where("score >= 0.5").select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; rows without an id stay."""
-    found = neardup.near_duplicates(docs)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near duplicates the rows with the smallest id; rows without an id stay.
+
+    Where an id comes with several texts, each text is judged by itself.
+    """
+    own = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+    gone = neardup.near_duplicates(own, also=["text_hash"]).where("doc_id <> component_id").select("doc_id", "text_hash").distinct()
+    return own.join(gone, ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +35,10 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated with the benchmark."""
-    found = decontaminate.digest(decontaminate.hits(docs, runtime.read(spark, sf_dir, "benchmark")))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that aren't contaminated with the benchmark; each row is judged by its own text, as in the quality stage."""
+    rows = docs.select(F.struct(*COLUMNS).alias("row"), "text")
+    found = decontaminate.digest(decontaminate.hits(rows, runtime.read(spark, sf_dir, "benchmark"), "row"))
+    return found.where("not contaminated").select(*(F.col(f"doc_id.{c}").alias(c) for c in COLUMNS))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

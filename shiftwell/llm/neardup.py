@@ -21,6 +21,8 @@ that are not null (null if there is none); an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +34,15 @@ HOT, BLOCK = 512, 4096
 BITS = 3
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, fp: the fingerprint as a signed long) for every row of docs."""
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", also: Sequence[str] = ()) -> DataFrame:
+    """(id, fp: the fingerprint as a signed long, columns ``also``) for every row of docs."""
 
     def run(it):
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhash.fingerprints(b.column(1)).view(np.int64))], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhash.fingerprints(b.column(1)).view(np.int64)), *b.columns[2:]], [id_col, "fp", *also])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col("text").cast("string")).mapInArrow(run, f"{id_col} {kind}, fp long")
+    kind = lambda c: docs.schema[c].dataType.simpleString()
+    return docs.select(id_col, F.col("text").cast("string"), *also).mapInArrow(run, ", ".join([f"{id_col} {kind(id_col)}, fp long", *(f"{c} {kind(c)}" for c in also)]))
 
 
 def _correlation(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -149,16 +151,16 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", most: int = BITS) -> DataFrame:
-    """(id, fp, component_id) for every row of docs; component_id is the smallest id reachable over links of up to ``most`` bits."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", most: int = BITS, also: Sequence[str] = ()) -> DataFrame:
+    """(id, fp, component_id, columns ``also``) for every row of docs; component_id is the smallest id reachable over links of up to ``most`` bits."""
     runtime.ship(docs.sparkSession)
-    marked = runtime.stored(with_fingerprints(docs, id_col))
+    marked = runtime.stored(with_fingerprints(docs, id_col, also))
     nodes = runtime.cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = components(links(nodes, most))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     own = named.join(names, "root").select("fp", "component_id")
-    return marked.join(own, "fp").select(id_col, "fp", "component_id")
+    return marked.join(own, "fp").select(id_col, "fp", "component_id", *also)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,11 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import runtime
-from .stats import FEATURES, document_stats, matrix
+from .stats import FEATURES, document_stats, matrix, text_stats
 
 FIT_ROWS = 40_000  # labelled rows that are learnt from, about
 FIT_PARTS = 8
@@ -130,6 +132,22 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, target: str = "q
     return score(stats, fit(stats, labels, target, learn))
 
 
+def classify_rows(docs: DataFrame, labels: DataFrame, learn: Column, target: str = "quality") -> DataFrame:
+    """docs with a score of each row, carried with the row: ids may be null or come twice. Fit as by ``classify``."""
+    runtime.ship(docs.sparkSession)
+    y = runtime.sampled(runtime.labels_of(labels, target, learn), "doc_id", FIT_ROWS).select("doc_id")
+    own = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id", "left_semi")  # about FIT_ROWS ids
+    bc = docs.sparkSession.sparkContext.broadcast(fit(document_stats(own).select("doc_id", "stats"), labels, target, learn))  # fixed size
+
+    def run(it):
+        for b in it:
+            _, x = text_stats(b.column("text"))
+            s = bc.value.score(x) if len(x) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s.astype(float))], [*b.schema.names, "score"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (runtime.read(spark, sf_dir, t) for t in ("documents", "labels"))
     held = runtime.remainder("doc_id", 3) == 1
