@@ -22,6 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the rows with the smallest id; rows without an id stay.
 
+    Follows op10's contract: 3-word shingles, at most 3 differing bits, transitive, no check of similarity.
     Where an id comes with several texts, each text is judged by itself.
     """
     own = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
