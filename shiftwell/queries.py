@@ -165,6 +165,16 @@ def copy_insert_ignore(spark, d):
     return copy_chunk(o, o.where("o_orderkey % 3 = 0"), ["o_orderkey"], [100], [1000], False, lambda x: x)
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0")
+def copy_whole_table(spark, d):
+    """As copy_insert_ignore, from the least to the greatest key."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    low, high = chunks.key_bounds(o, ["o_orderkey"]).first() or (None, None)
+    if low is None:
+        return o.limit(0)
+    return copy_chunk(o, o.where("o_orderkey % 3 = 0"), ["o_orderkey"], [low], [high], True, lambda x: x)
+
+
 @query("""SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem WHERE l_orderkey <= 2000
 AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = lineitem.l_orderkey AND b.l_linenumber = lineitem.l_linenumber AND b.l_quantity > 45) GROUP BY 1, 2""")
 def insert_ignore_duplicates(spark, d):
@@ -230,6 +240,18 @@ def cdc_split_key_update(spark, d):
     return cdc.split_key_updates(ev, ["user_id"], ["value"])
 
 
+@query("""SELECT event_id AS seq, CAST(0 AS BIGINT) AS sub_seq, CASE WHEN event_type = 'signup' THEN 'I' WHEN event_type = 'error' OR event_id % 5 = 0 THEN 'D' ELSE 'U' END AS op, user_id,
+CASE WHEN event_type <> 'error' THEN value END AS value FROM events
+UNION ALL SELECT event_id, 1, 'I', user_id + 1000000, value FROM events WHERE event_type NOT IN ('signup', 'error') AND event_id % 5 = 0""")
+def cdc_split_whole_log(spark, d):
+    """As cdc_split_key_update, over inserts, deletes and updates; every fifth event, if an update, changes its key."""
+    after = F.when(F.col("event_id") % 5 == 0, F.col("user_id") + 1_000_000).otherwise(F.col("user_id"))
+    e = table(spark, d, "events").withColumn("op", F.when(F.col("event_type") == "signup", "I").when(F.col("event_type") == "error", "D").otherwise("U"))
+    before, new = F.when(F.col("op") != "I", F.struct("user_id", "value")), F.when(F.col("op") != "D", F.struct(F.when(F.col("op") == "U", after).otherwise(F.col("user_id")).alias("user_id"), "value"))
+    ev = e.select(F.col("event_id").alias("seq"), F.lit(0).cast("long").alias("sub_seq"), "op", before.alias("before"), new.alias("after"))
+    return cdc.split_key_updates(ev, ["user_id"], ["value"])
+
+
 @query("SELECT event_id, event_type, CASE event_type WHEN 'signup' THEN 'I' WHEN 'click' THEN 'U' WHEN 'error' THEN 'D' ELSE 'NotDML' END AS op FROM events WHERE user_id % 2 = 1")
 def cdc_table_filter(spark, d):
     e = table(spark, d, "events").withColumn("db", F.lit("Shop")).withColumn("table", F.when(F.col("user_id") % 2 == 1, "USERS").otherwise("other"))
