@@ -6,21 +6,23 @@ front of the same document) is removed; windows are judged on the input.
 
 1. Candidates.  Each window has an anchor, the 6-gram of least hash inside it.
    Tasks put their windows' hashes into buckets by anchor, each distinct window
-   once for some FLUSH windows, so that frequent passages shrink before they are shuffled.  A
+   once for some FLUSH windows, so that frequent passages shrink before they are
+   shuffled; windows of a frequent anchor are dealt by their own hash.  A
    bucket finds the windows that come more than once; the first one is the
    reference, the others refer to its document.
 2. Shards.  Reference spans (runs of first windows) and the spans that refer to
    them meet in small shards, by the reference's document; spans that refer
-   to very frequent windows are dealt over copies of the shard's references.
+   to a document of very many claims are dealt over copies of its references.
    Each shard builds the suffix automaton of its references' words and streams
    the other spans through it: where the matching statistic reaches LENGTH, the
    words are removed.  Words are compared as they are, hashes only nominate.
 3. The removed ranges go back to the documents' texts.
 
 Defined results: a null or empty text has no words; ids must be integers, a
-row with a null id keeps all its words and is no reference; rows that
-repeat an id are versions of one document (exact repeats get the same
-result, and don't count as earlier); other columns are ignored.
+row with a null id keeps all its words and is no reference; rows that repeat
+an id with another text are documents of their own, one after the other in the
+order of their texts' hashes; exact repeats get the same result, and don't
+count as earlier; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ from . import textnp as tn
 LENGTH, ANCHOR = 20, 6
 FLUSH = 300_000  # windows that a task holds before it hands them on
 BUCKET_BYTES, SHARD_BYTES = 4_000_000, 2_000_000  # text for each bucket and shard
-SALT_AT = 1024  # references to one window for each copy of it
+SALT_AT = 8192  # claims on one document for each copy of its references
+CELLS = 1 << 16  # cells of the table of copies
+HOT_WINDOWS, HOT_SHARE, HOT_BITS = 100_000, 16, 22  # windows of a frequent anchor; of how many documents one is counted; bits of its place in the table
 _LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -61,15 +65,25 @@ def _runs(doc: np.ndarray, start: np.ndarray, *also: np.ndarray) -> np.ndarray:
     return np.r_[0, np.flatnonzero(new) + 1]
 
 
-CLAIM = np.dtype([("start", "<i4"), ("n", "<i4"), ("owner", "<i8"), ("salt", "<i4")])
-REF = np.dtype([("start", "<i4"), ("n", "<i4"), ("salts", "<i4")])
-RUN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4"), ("tag", "<u4")])
+def ranks(doc: np.ndarray, ver: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place of each (doc, ver) in their order, and the distinct ones in that order."""
+    by = np.lexsort((ver, doc))
+    d, v = doc[by], ver[by]
+    new = np.r_[True, (d[1:] != d[:-1]) | (v[1:] != v[:-1])] if len(d) else np.zeros(0, bool)
+    out = np.zeros(len(doc), np.int64)
+    out[by] = np.cumsum(new) - 1
+    return out, d[new], v[new]
 
 
-def judge(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
-    """Of windows (key, doc, start): which are the first of their key; spans that refer to others; spans that are referred to.
+CLAIM = np.dtype([("start", "<i4"), ("n", "<i4"), ("owner", "<i8"), ("over", "<i8")])
+REF = np.dtype([("start", "<i4"), ("n", "<i4")])
+RUN = np.dtype([("doc", "<i8"), ("ver", "<i8"), ("start", "<i4"), ("n", "<i4"), ("tag", "<u4")])
 
-    The spans are given by document, as (doc, packed claims, packed references).
+
+def judge(key: np.ndarray, rank: np.ndarray, start: np.ndarray, doc: np.ndarray, ver: np.ndarray) -> tuple[np.ndarray, list]:
+    """Of windows (key, rank of the document, start): which are the first of their key, and spans that refer to others or are referred to.
+
+    doc, ver: the documents by rank.  The spans are given by document, as (doc, ver, packed claims, packed references).
     """
     order = np.argsort(key, kind="stable")
     k = key[order]
@@ -79,75 +93,98 @@ def judge(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarr
     first[order[edge[size == 1]]] = True
     many = order[np.repeat(size > 1, size)]
     if not len(many):
-        return first, [], size
-    many = many[np.lexsort((start[many], doc[many], key[many]))]
+        return first, []
+    many = many[np.lexsort((start[many], rank[many], key[many]))]
     k = key[many]
     head = np.r_[True, k[1:] != k[:-1]]
     group = np.cumsum(head) - 1
     owner = many[head]
-    count = np.bincount(group)
-    salts = np.left_shift(1, np.ceil(np.log2(np.maximum(count / SALT_AT, 1))).astype(np.int64))
     first[owner] = True
     # an exact repeat of a row has its windows at the very same place: not earlier, so neither is removed
-    o_doc, o_start = doc[owner][group], start[owner][group]
-    rest = ~head & ((doc[many] != o_doc) | (start[many] != o_start))
-    d, s, o, n_salt = doc[many][rest], start[many][rest], o_doc[rest], salts[group][rest]
-    salt = (tn.mix(d.astype(np.uint64)) & (n_salt - 1).astype(np.uint64)).astype(np.int64)
+    o_rank, o_start = rank[owner][group], start[owner][group]
+    rest = ~head & ((rank[many] != o_rank) | (start[many] != o_start))
+    d, s, o = rank[many][rest], start[many][rest], o_rank[rest]
     by = np.lexsort((s, d))
-    d, s, o, salt = d[by], s[by], o[by], salt[by]
+    d, s, o = d[by], s[by], o[by]
     keep = np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1])] if len(d) else np.zeros(0, bool)
-    d, s, o, salt = d[keep], s[keep], o[keep], salt[keep]
-    at = _runs(d, s, o, salt)
+    d, s, o = d[keep], s[keep], o[keep]
+    at = _runs(d, s, o)
     claims = np.zeros(len(at), CLAIM)
-    claims["start"], claims["owner"], claims["salt"] = s[at], o[at], salt[at]
+    claims["start"], claims["owner"], claims["over"] = s[at], doc[o[at]], ver[o[at]]
     claims["n"] = np.diff(np.r_[at, len(d)])
-    r_doc, r_start = doc[owner], start[owner]
-    by = np.lexsort((r_start, r_doc))
-    r_doc, r_start, r_salts = r_doc[by], r_start[by], salts[by]
-    ra = _runs(r_doc, r_start, r_salts)
+    r_rank, r_start = rank[owner], start[owner]
+    by = np.lexsort((r_start, r_rank))
+    r_rank, r_start = r_rank[by], r_start[by]
+    ra = _runs(r_rank, r_start)
     refs = np.zeros(len(ra), REF)
-    refs["start"], refs["salts"], refs["n"] = r_start[ra], r_salts[ra], np.diff(np.r_[ra, len(r_doc)])
-    return first, _by_doc(d[at], claims, r_doc[ra], refs), count
-
-
-def _by_doc(c_doc: np.ndarray, claims: np.ndarray, r_doc: np.ndarray, refs: np.ndarray) -> list:
+    refs["start"], refs["n"] = r_start[ra], np.diff(np.r_[ra, len(r_rank)])
     out = []
-    for doc, packed, k in ((c_doc, claims, 0), (r_doc, refs, 1)):
-        if not len(doc):
-            continue
-        edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        for a, b in zip(edge, np.r_[edge[1:], len(doc)], strict=True):
-            out.append((int(doc[a]), packed[a:b].tobytes() if k == 0 else b"", packed[a:b].tobytes() if k == 1 else b""))
-    return out
+    for who, packed, kind in ((d[at], claims, 0), (r_rank[ra], refs, 1)):
+        if len(who):
+            edge = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+            for i, j in zip(edge, np.r_[edge[1:], len(who)], strict=True):
+                raw = packed[i:j].tobytes()
+                out.append((int(doc[who[i]]), int(ver[who[i]]), raw if kind == 0 else b"", raw if kind == 1 else b""))
+    return first, out
 
 
-NOMINATED = "bucket int, blob binary, doc long, claims binary, refs binary"
+NOMINATED = "bucket int, blob binary, doc long, ver long, claims binary, refs binary"
 
 
 def _rows(bucket, blob, spans) -> pa.RecordBatch:
     """Rows of blobs, then rows of spans (dealt over the buckets)."""
     n, m = len(bucket), len(spans)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([*bucket, *[int(d) & 0x7FFFFFFF for d, _, _ in spans]], pa.int32()), pa.array([*blob, *[None] * m], pa.binary()), pa.array([*[None] * n, *[d for d, _, _ in spans]], pa.int64()),
-            pa.array([*[None] * n, *[c for _, c, _ in spans]], pa.binary()), pa.array([*[None] * n, *[r for _, _, r in spans]], pa.binary()),
-        ],
-        [x.split()[0] for x in NOMINATED.split(", ")],
-    )
-
-
-def _nominate(buckets: int):
-    def flush(parts: list) -> pa.RecordBatch:
-        key, anchor, doc, start = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        first, spans, _ = judge(key, doc, start)
-        key, anchor, doc, start = key[first], anchor[first], doc[first], start[first]
-        bucket = ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        by = np.lexsort((start, doc, bucket))
-        key, anchor, doc, start, bucket = key[by], anchor[by], doc[by], start[by], bucket[by]
+    own = [pa.array([*[None] * n, *[x[k] for x in spans]], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+    return pa.RecordBatch.from_arrays([pa.array([*bucket, *[d & 0x7FFFFFFF for d, *_ in spans]], pa.int32()), pa.array([*blob, *[None] * m], pa.binary()), *own], [x.split()[0] for x in NOMINATED.split(", ")])
+
+
+def _texts(it):
+    """Words of the texts of rows (doc, ver, text), part by part, with the parts' ids and versions."""
+    for batch in it:
+        ids, vers = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        data, offsets = tn.buffers(batch.column(2))
+        for a, b in tn.chunks(offsets):
+            yield tn.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), ids[a:b], vers[a:b]
+
+
+def _frequent(own: DataFrame) -> np.ndarray:
+    """A table of 2**HOT_BITS bits that marks the anchors of too many windows for one bucket, as counted in one of HOT_SHARE documents.
+
+    It only says how windows are dealt to buckets: an anchor marked by chance, or missed, changes no result.
+    """
+
+    def run(it):
+        for w, _, _ in _texts(it):
+            at = w.window_starts(LENGTH)
+            if len(at):
+                a, n = np.unique(anchors(w.hashes(), at), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
+
+    some = own.where(F.pmod(F.xxhash64("doc", "ver"), F.lit(HOT_SHARE)) == 0).mapInArrow(run, "anchor long, n long")
+    hot = some.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") * HOT_SHARE > HOT_WINDOWS)
+    place = F.shiftrightunsigned("anchor", 64 - HOT_BITS)
+    words = hot.select(place.alias("place")).groupBy(F.floor(F.col("place") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+    out = np.zeros(1 << (HOT_BITS - 6), np.int64)
+    for r in words.collect():  # at most 2**(HOT_BITS - 6) rows
+        out[r["w"]] = r["bits"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _nominate(buckets: int, hot):
+    def flush(parts: list, docs: list) -> pa.RecordBatch:
+        key, anchor, row, start = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        place, doc, ver = ranks(*(np.concatenate([d[k] for d in docs]) for k in (0, 1)))
+        rank = place[row]
+        first, spans = judge(key, rank, start, doc, ver)
+        key, anchor, rank, start = key[first], anchor[first], rank[first], start[first]
+        often = hot.value[(anchor >> np.uint64(64 - HOT_BITS)).astype(np.int64)]
+        bucket = ((np.where(often, tn.mix(key), anchor) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        by = np.lexsort((start, rank, bucket))
+        key, anchor, rank, start, bucket = key[by], anchor[by], rank[by], start[by], bucket[by]
         tag = (anchor & np.uint64(0xFFFFFF)).astype(np.uint32)
-        at = _runs(doc, start, bucket, tag)
+        at = _runs(rank, start, bucket, tag)
         runs = np.zeros(len(at), RUN)
-        runs["doc"], runs["start"], runs["tag"], runs["n"] = doc[at], start[at], tag[at], np.diff(np.r_[at, len(doc)])
+        runs["doc"], runs["ver"], runs["start"], runs["tag"], runs["n"] = doc[rank[at]], ver[rank[at]], start[at], tag[at], np.diff(np.r_[at, len(rank)])
         low, high = (key & np.uint64(0xFFFFFFFF)).astype("<u4"), ((key >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8)
         out, blobs = [], []
         run_bucket = bucket[at]
@@ -159,28 +196,25 @@ def _nominate(buckets: int):
         return _rows(out, blobs, spans)
 
     def run(it):
-        parts, held = [], 0
-        for batch in it:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = tn.buffers(batch.column(1))
-            for a, b in tn.chunks(offsets):
-                w = tn.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                key, at = w.grams(LENGTH)
-                if len(at):
-                    parts.append((key, anchors(w.hashes(), at), ids[a + w.doc[at]].astype(np.int64), (at - w.first[w.doc[at]]).astype(np.int32)))
-                    held += len(at)
-                if held >= FLUSH:
-                    yield flush(parts)
-                    parts, held = [], 0
+        parts, docs, held, rows = [], [], 0, 0
+        for w, ids, vers in _texts(it):
+            key, at = w.grams(LENGTH)
+            if len(at):
+                parts.append((key, anchors(w.hashes(), at), rows + w.doc[at], (at - w.first[w.doc[at]]).astype(np.int32)))
+                docs.append((ids, vers))
+                held, rows = held + len(at), rows + len(ids)
+            if held >= FLUSH:
+                yield flush(parts, docs)
+                parts, docs, held, rows = [], [], 0, 0
         if parts:
-            yield flush(parts)
+            yield flush(parts, docs)
 
     return run
 
 
 def _bucket(t: pa.Table) -> pa.Table:
     """Windows of a bucket that come more than once, as spans by document; spans that came along pass through."""
-    through = [(d, c or b"", r or b"") for d, c, r in zip(t["doc"].to_pylist(), t["claims"].to_pylist(), t["refs"].to_pylist(), strict=True) if d is not None]
+    through = [x for x in zip(*(t[c].to_pylist() for c in ("doc", "ver", "claims", "refs")), strict=True) if x[0] is not None]
     runs, low, high = [], [], []
     for blob in t["blob"].to_pylist():
         if blob is not None:
@@ -196,9 +230,10 @@ def _bucket(t: pa.Table) -> pa.Table:
         n = r["n"].astype(np.int64)
         key = np.concatenate(low).astype(np.uint64) | (np.concatenate(high).astype(np.uint64) << np.uint64(32)) | (np.repeat(r["tag"], n).astype(np.uint64) << np.uint64(40))
         start = (np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(r["start"], n)).astype(np.int32)
-        _, spans, _ = judge(key, np.repeat(r["doc"], n), start)
+        place, doc, ver = ranks(r["doc"], r["ver"])
+        _, spans = judge(key, np.repeat(place, n), start, doc, ver)
     spans += through
-    return pa.table({"doc": pa.array([s[0] for s in spans], pa.int64()), "claims": pa.array([s[1] for s in spans], pa.binary()), "refs": pa.array([s[2] for s in spans], pa.binary())})
+    return pa.table({c: pa.array([s[k] for s in spans], kind) for k, (c, kind) in enumerate((("doc", pa.int64()), ("ver", pa.int64()), ("claims", pa.binary()), ("refs", pa.binary())))})
 
 
 def _pieces(x: np.ndarray, *same: str) -> list[tuple[int, int]]:
@@ -212,30 +247,57 @@ def _pieces(x: np.ndarray, *same: str) -> list[tuple[int, int]]:
     return list(zip(at, [*at[1:], len(x)], strict=True))
 
 
-def _spans(shards: int):
-    """Rows of (doc, text, claims, refs) to the texts of spans, by shard."""
+def _name(doc, ver) -> np.ndarray:
+    """One hash of each (doc, ver)."""
+    return tn.mix(np.atleast_1d(np.asarray(doc, np.int64)).view(np.uint64) ^ tn.mix(np.atleast_1d(np.asarray(ver, np.int64)).view(np.uint64)))
+
 
-    def shard_of(owner: int) -> int:
-        return int(tn.mix(np.array([owner], np.int64).view(np.uint64))[0] % np.uint64(shards))
+def _copies(by_doc: DataFrame) -> np.ndarray:
+    """How many copies of its references a document needs, by cell of its name: one for every SALT_AT claims on it.
+
+    The claims are counted for each document; a cell takes the most of those that share it, so that others may get copies in vain.
+    """
+
+    def run(it):
+        for b in it:
+            c = np.frombuffer(b"".join(x for row in b.column(0).to_pylist() for x in row), CLAIM)
+            if len(c):
+                place, doc, ver = ranks(c["owner"].astype(np.int64), c["over"].astype(np.int64))
+                cell = (_name(doc, ver) >> np.uint64(40)).astype(np.int64) % CELLS
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(ver), pa.array(cell), pa.array(np.bincount(place).astype(np.int64))], ["doc", "ver", "cell", "n"])
+
+    counted = by_doc.select("claims").mapInArrow(run, "doc long, ver long, cell long, n long").groupBy("doc", "ver", "cell").agg(F.sum("n").alias("n")).where(F.col("n") > SALT_AT)
+    out = np.ones(CELLS, np.int64)
+    for r in counted.groupBy("cell").agg(F.max("n").alias("n")).collect():  # at most CELLS rows
+        out[r["cell"]] = -(-r["n"] // SALT_AT)
+    return out
+
+
+def _spans(shards: int, copies):
+    """Rows of (doc, ver, text, claims, refs) to the texts of spans, by shard."""
 
     def run(it):
         for batch in it:
             out = []
-            for doc, text, claims, refs in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for doc, ver, text, claims, refs in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 words = (text or "").encode().split()
+                own = int(_name(doc, ver)[0])
                 c = np.frombuffer(b"".join(claims), CLAIM)
                 c = c[np.argsort(c["start"], kind="stable")]
-                for a, b in _pieces(c, "owner", "salt"):
+                name = _name(c["owner"].astype(np.int64), c["over"].astype(np.int64)) if len(c) else []
+                for a, b in _pieces(c, "owner", "over"):
                     lo, hi = int(c["start"][a]), int((c["start"][a:b] + c["n"][a:b]).max()) + LENGTH - 1
-                    out.append((shard_of(int(c["owner"][a])), int(c["salt"][a]), doc, lo, b" ".join(words[lo:hi])))
+                    to = int(name[a])
+                    out.append((to % shards, own % int(copies.value[(to >> 40) % CELLS]), doc, ver, lo, b" ".join(words[lo:hi])))
                 r = np.frombuffer(b"".join(refs), REF)
                 r = r[np.argsort(r["start"], kind="stable")]
-                for a, b in _pieces(r, "salts"):
+                for a, b in _pieces(r):
                     lo, hi = int(r["start"][a]), int((r["start"][a:b] + r["n"][a:b]).max()) + LENGTH - 1
-                    for salt in range(int(r["salts"][a])):
-                        out.append((shard_of(doc), salt, doc, -1 - lo, b" ".join(words[lo:hi])))
+                    for salt in range(int(copies.value[(own >> 40) % CELLS])):
+                        out.append((own % shards, salt, doc, ver, -1 - lo, b" ".join(words[lo:hi])))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["shard", "salt", "doc", "at", "words"])
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "salt", "doc", "ver", "at", "words"])
 
     return run
 
@@ -297,40 +359,44 @@ class SuffixAutomaton:
 
 
 def _shard(t: pa.Table) -> pa.Table:
-    """Stream a shard's spans through the automaton of its references; (doc, begin, end) of what is removed."""
+    """Stream a shard's spans through the automaton of its references; (doc, ver, begin, end) of what is removed."""
     sam, spans = SuffixAutomaton(), []
-    for doc, at, words in zip(t["doc"].to_pylist(), t["at"].to_pylist(), t["words"].to_pylist(), strict=True):
+    rows = list(zip(*(t[c].to_pylist() for c in ("doc", "ver", "at", "words")), strict=True))
+    for _, _, at, words in rows:
         if at < 0:
             spans.append(words)
     for words in dict.fromkeys(spans):
         sam.add(words.split())
     known: dict[bytes, list[tuple[int, int]]] = {}
-    doc_out, begin, end = [], [], []
-    for doc, at, words in zip(t["doc"].to_pylist(), t["at"].to_pylist(), t["words"].to_pylist(), strict=True):
+    out = []
+    for doc, ver, at, words in rows:
         if at >= 0:
             if words not in known:
                 known[words] = sam.matches(words.split(), LENGTH)
-            for a, b in known[words]:
-                doc_out.append(doc), begin.append(at + a), end.append(at + b)
-    return pa.table({"doc": pa.array(doc_out, pa.int64()), "begin": pa.array(begin, pa.int32()), "end": pa.array(end, pa.int32())})
+            out += [(doc, ver, at + a, at + b) for a, b in known[words]]
+    cols = zip(*out, strict=True) if out else [[]] * 4
+    return pa.table({c: pa.array(x, k) for c, x, k in zip(("doc", "ver", "begin", "end"), cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)})
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc, ranges: array of begin and end words) of the documents that lose words."""
-    runtime.ship(docs.sparkSession)
-    own = _own(docs, id_col)
+def removed(own: DataFrame) -> DataFrame:
+    """(doc, ver, ranges: array of begin and end words) of the documents (doc, ver, text) that lose words."""
+    spark = own.sparkSession
+    runtime.ship(spark)
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, shards = max(4, -(-size // BUCKET_BYTES)), max(4, -(-size // SHARD_BYTES))
-    nominated = own.mapInArrow(_nominate(buckets), NOMINATED).withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
-    spans = nominated.groupBy("bucket").applyInArrow(lambda t: _bucket(t), "doc long, claims binary, refs binary")
-    by_doc = runtime.stored(spans.groupBy("doc").agg(F.collect_list("claims").alias("claims"), F.collect_list("refs").alias("refs")))
-    texts = own.join(by_doc, "doc").select("doc", "text", "claims", "refs").mapInArrow(_spans(shards), "shard int, salt int, doc long, at int, words binary")
-    found = texts.groupBy("shard", "salt").applyInArrow(lambda t: _shard(t), "doc long, begin int, end int")
-    return found.groupBy("doc").agg(F.collect_list(F.array("begin", "end")).alias("ranges"))
+    hot = spark.sparkContext.broadcast(_frequent(own))  # fixed size
+    nominated = own.mapInArrow(_nominate(buckets, hot), NOMINATED).withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
+    spans = nominated.groupBy("bucket").applyInArrow(lambda t: _bucket(t), "doc long, ver long, claims binary, refs binary")
+    by_doc = runtime.stored(spans.groupBy("doc", "ver").agg(F.collect_list("claims").alias("claims"), F.collect_list("refs").alias("refs")))
+    copies = spark.sparkContext.broadcast(_copies(by_doc))  # fixed size
+    texts = own.join(by_doc, ["doc", "ver"]).select("doc", "ver", "text", "claims", "refs").mapInArrow(_spans(shards, copies), "shard int, salt int, doc long, ver long, at int, words binary")
+    found = texts.groupBy("shard", "salt").applyInArrow(lambda t: _shard(t), "doc long, ver long, begin int, end int")
+    return found.distinct().groupBy("doc", "ver").agg(F.collect_list(F.array("begin", "end")).alias("ranges"))
 
 
 def _own(docs: DataFrame, id_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null")
+    """(doc, ver: the text's hash, text) of the rows with an id."""
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("ver"), F.col("text").cast("string").alias("text")).where("doc is not null")
 
 
 def _apply(form, fields: str):
@@ -355,8 +421,8 @@ def _apply(form, fields: str):
 
 def apply(docs: DataFrame, form, fields: str, id_col: str = "doc_id") -> DataFrame:
     """form(words, kept words) of every row, as the named fields."""
-    none = F.expr("cast(array() as array<array<int>>)")
-    with_ids = _own(docs, id_col).join(removed(docs, id_col), "doc", "left").select("doc", "text", F.coalesce("ranges", none).alias("ranges"))
+    none, own = F.expr("cast(array() as array<array<int>>)"), _own(docs, id_col)
+    with_ids = own.join(removed(own), ["doc", "ver"], "left").select("doc", "text", F.coalesce("ranges", none).alias("ranges"))
     without = docs.where(F.col(id_col).cast("long").isNull()).select(F.lit(None).cast("long").alias("doc"), F.col("text").cast("string").alias("text"), none.alias("ranges"))
     return with_ids.union(without).mapInArrow(_apply(form, fields), f"doc long, {fields}")
 
@@ -381,8 +447,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             cols[at] = pa.array(text, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(cols, own.fieldNames())
 
-    ranges = removed(docs, id_col).withColumnRenamed("ranges", "_ranges").withColumnRenamed("doc", "_doc")
-    return docs.join(ranges, F.col(id_col).cast("long") == F.col("_doc"), "left").select(*own.fieldNames(), "_ranges").mapInArrow(run, own)
+    ranges = removed(_own(docs, id_col)).select(F.col("doc").alias("_doc"), F.col("ver").alias("_ver"), F.col("ranges").alias("_ranges"))
+    same = (F.col(id_col).cast("long") == F.col("_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_ver"))
+    return docs.join(ranges, same, "left").select(*own.fieldNames(), "_ranges").mapInArrow(run, own)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def plain_dedup(rows):
 @pytest.mark.parametrize("small", [False, True])
 def test_substrings_by_brute_force(spark, odd, monkeypatch, small):
     if small:
-        for k, v in (("FLUSH", 500), ("BUCKET_BYTES", 20000), ("SHARD_BYTES", 5000), ("SALT_AT", 1)):
+        for k, v in (("FLUSH", 500), ("BUCKET_BYTES", 20000), ("SHARD_BYTES", 5000), ("SALT_AT", 1), ("HOT_WINDOWS", 1), ("HOT_SHARE", 1)):
             monkeypatch.setattr(substring, k, v)
     rng = random.Random(9)
     base = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(120)) for _ in range(6)]
@@ -100,6 +100,19 @@ def test_substrings_by_brute_force(spark, odd, monkeypatch, small):
     assert {k: v[1] for k, v in got.items()} == {k: " ".join(v) for k, v in want.items()}
 
 
+def test_two_texts_of_one_id(spark):
+    """Each text of an id is a document of its own: only what is repeated goes."""
+    words = lambda a, n: " ".join(f"w{a}x{i}" for i in range(n))
+    alone, one, two = words(1, 75), words(2, 60), words(3, 25)
+    rows = [(1, one), (7, alone), (7, one + " " + two), (7, alone), (9, two), (None, one), (5, None), (5, "")]
+    got = sorted(((r.doc_id, r.text) for r in substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, one), (7, alone), (7, two), (7, alone), (9, ""), (None, one), (5, None), (5, "")], key=str)
+    # equal passages of two texts of one id: one of them keeps it
+    both = [(3, one + " " + alone), (3, one + " " + two)]
+    left = sorted(len(r.text.split()) for r in substring.deduplicate(spark.createDataFrame(both, "doc_id long, text string")).collect())
+    assert left in ([25, 135], [75, 85])
+
+
 def test_substring_odd_rows(spark, odd):
     out = substring.deduplicate(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
