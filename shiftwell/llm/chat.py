@@ -17,8 +17,8 @@ Defined results: a null text is the empty text, a null role the empty role;
 messages without a parent, or whose parent is not there, are roots; rows
 that repeat (tree, node) are collapsed to the least (role, text, score); ties of
 rank go to the smaller leaf; a null tree id is a tree of its own;
-messages on a cycle have no leaf and give no path; empty tables
-give no rows; other columns are ignored.
+messages on a cycle, and those that hang on one, have no root and give no path;
+empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,19 +49,31 @@ def closing(role: Column) -> Column:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, node, back: steps from the leaf) for all root-to-leaf paths of nodes (tree, node, parent)."""
+    """(tree, leaf, node, back: steps from the leaf) for all root-to-leaf paths of nodes (tree, node, parent).
+
+    A row is done when no node lies ``far`` steps above it; only the others go
+    into the next round, so that one long conversation costs the short ones
+    nothing.  A node with more steps above it than its tree has nodes stands
+    over a cycle: it has no root, and its rows are never done.
+    """
     there = nodes.select("tree", F.col("node").alias("parent"))
-    up = runtime.cut(nodes.where("parent is not null and parent <> node").join(there, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("up")))
+    size = nodes.groupBy("tree").agg(F.count("*").alias("size"))
+    up = nodes.where("parent is not null and parent <> node").join(there, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("up"))
+    up = runtime.cut(up.join(size, "tree"))
     leaves = nodes.select("tree", "node").join(up.select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
     walk = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
-    far = 1
-    most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while far <= most and not up.isEmpty():  # a path is no longer than its tree has nodes
-        step = walk.join(up, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + far).alias("back"))
-        walk = runtime.cut(walk.union(step))
-        up = runtime.cut(up.join(up.select("tree", F.col("node").alias("up"), F.col("up").alias("top")), ["tree", "up"]).select("tree", "node", F.col("top").alias("up")))
+    far, done = 1, None
+    while True:
+        step = runtime.cut(walk.join(up, ["tree", "node"], "left"))
+        own = step.where("up is null").select("tree", "leaf", "node", "back")
+        done = own if done is None else done.union(own)
+        more = step.where(F.col("size") > far)
+        if more.isEmpty():
+            return done
+        walk = more.select("tree", "leaf", F.explode(F.array(F.struct("node", "back"), F.struct(F.col("up").alias("node"), (F.col("back") + far).alias("back")))).alias("_s")).select("tree", "leaf", "_s.node", "_s.back")
+        up = up.where(F.col("size") > far)
+        up = runtime.cut(up.join(up.select("tree", F.col("node").alias("up"), F.col("up").alias("top")), ["tree", "up"]).select("tree", "node", F.col("top").alias("up"), "size"))
         far *= 2
-    return walk
 
 
 def format_trees(messages: DataFrame, best: int | None = None) -> DataFrame:

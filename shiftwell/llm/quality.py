@@ -71,8 +71,7 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(stats: DataFrame, labels: DataFrame, target: str, rule: Column, pairs: int = 128, ridge: float = 1e-3, seed: int = 7, limit: int = FIT_ROWS) -> RffModel:
     """Fit on about ``limit`` labelled rows for which ``rule`` (over doc_id) holds, chosen by the hash of their ids."""
-    y = runtime.sampled(runtime.labels_of(labels, target, rule), "doc_id", limit)
-    rows = stats.join(y, "doc_id").select("doc_id", "stats", "y", F.xxhash64(F.col("doc_id").cast("string")).alias("k"))
+    rows = runtime.learnable(stats, runtime.labels_of(labels, target, rule), limit).withColumn("k", F.xxhash64(F.col("doc_id").cast("string")))
     rows = runtime.cut(rows.repartition(FIT_PARTS, "k"))
     moments = rows.select(F.posexplode("stats"), "y").groupBy("pos").agg(F.avg("col").alias("m"), F.stddev_pop("col").alias("s"), F.count("*").alias("n"), F.avg("y").alias("y"), F.sum("y").alias("ones")).orderBy("pos").collect()
     d = len(FEATURES)
@@ -135,7 +134,7 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, target: str = "q
 def classify_rows(docs: DataFrame, labels: DataFrame, learn: Column, target: str = "quality") -> DataFrame:
     """docs with a score of each row, carried with the row: ids may be null or come twice. Fit as by ``classify``."""
     runtime.ship(docs.sparkSession)
-    y = runtime.sampled(runtime.labels_of(labels, target, learn), "doc_id", FIT_ROWS).select("doc_id")
+    y = runtime.sampled(runtime.labels_of(labels, target, learn), ["doc_id"], FIT_ROWS).select("doc_id")
     own = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id", "left_semi")  # about FIT_ROWS ids
     bc = docs.sparkSession.sparkContext.broadcast(fit(document_stats(own).select("doc_id", "stats"), labels, target, learn))  # fixed size
 

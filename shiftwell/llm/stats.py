@@ -125,8 +125,7 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, target: str, rule, limi
 
     ``rule`` is a Column over doc_id that holds for the rows that may be learnt from.
     """
-    y = runtime.sampled(runtime.labels_of(labels, target, rule), "doc_id", limit)
-    got = stats.join(y, "doc_id").select("stats", "y", "doc_id").toArrow().sort_by("doc_id")
+    got = runtime.learnable(stats.select("doc_id", "stats"), runtime.labels_of(labels, target, rule), limit).toArrow().sort_by("doc_id")
     if not got.num_rows:
         return np.zeros((0, len(FEATURES)), np.float32), np.zeros(0, np.int64)
     return matrix(got["stats"]), got["y"].to_numpy().astype(np.int64)

@@ -3,7 +3,8 @@
 A word is the bag of its byte 3- to 5-grams (with the boundaries), hashed into
 BUCKETS rows of an embedding table; its vector is their mean.  A passage of
 WINDOW words is the mean of its words, and a linear softmax over that mean
-gives its class.  Embeddings and softmax are trained jointly in numpy.  A
+gives its class.  Embeddings and softmax are trained jointly in numpy, on the
+passages of whole labelled texts and on the most toxic one of each.  A
 word that repeats one of the 23 before it, or has no letter, is left out of the passages.  A
 document is as toxic as its most toxic passage, so that a few words in a long
 text count.
@@ -15,8 +16,8 @@ Defined results: a null text, an empty one or one without a word gets the
 score of an empty bag (below 0.5); repeated rows are scored each; without
 labels of both classes every score is the smoothed share of label 1.  Labelled
 texts of more than LONG_BYTES are learnt from last, the shorter ones first, as
-far as FIT_BYTES has room for them; a class whose chosen texts are all longer
-than FIT_BYTES counts as one without labels.  All texts are scored.
+far as FIT_BYTES has room for them; a class always keeps one text at least,
+its shortest if all are longer.  All texts are scored.
 """
 
 from __future__ import annotations
@@ -130,22 +131,78 @@ def fresh(w: tn.Words) -> tuple[np.ndarray, np.ndarray]:
     return keep, np.searchsorted(keep, w.first)
 
 
-def passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word ranges of WINDOW words, one every STEP words and a last one, and their documents; a shorter text is one."""
+def passages(first: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+    """Word ranges of WINDOW words, one every ``step`` words and a last one, and their documents; a shorter text is one."""
     n = np.diff(first)
-    many = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STEP)), 0)
+    many = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // step)), 0)
     doc = np.repeat(np.arange(len(n)), many)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-    begin = np.minimum(k * STEP, np.maximum(n[doc] - WINDOW, 0))
+    begin = np.minimum(k * step, np.maximum(n[doc] - WINDOW, 0))
     return np.stack([first[doc] + begin, first[doc] + np.minimum(begin + WINDOW, n[doc])], 1), doc
 
 
-def train(texts: list[str], y: np.ndarray, seed: int = 3, epochs: int = 70) -> Model:
+class Net:
+    """Subword embeddings and a linear softmax over their means, fitted jointly by gradient descent.
+
+    A word is the mean of its subwords' embeddings, a bag the mean of its words.
+    """
+
+    def __init__(self, grams: np.ndarray, owner: np.ndarray, words: int, seed: int):
+        self.used, self.grams = np.unique(grams, return_inverse=True)
+        self.owner, self.words = owner, words
+        self.size = np.maximum(np.bincount(owner, minlength=words), 1)
+        rng = np.random.default_rng(seed)
+        self.emb, self.soft, self.bias = rng.standard_normal((len(self.used), DIM)) * 0.1, rng.standard_normal((DIM, 2)) * 0.5, np.zeros(2)
+
+    def vectors(self) -> np.ndarray:
+        return np.stack([np.bincount(self.owner, self.emb[self.grams, d], self.words) for d in range(DIM)], 1) / self.size[:, None]
+
+    def descend(self, words: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int) -> None:
+        """Minimise the cross entropy of the bags' classes; (words, bag): which word lies in which bag."""
+        n = len(y)
+        size = np.bincount(bag, minlength=n)[:, None]
+        target = np.eye(2)[y]
+        state = [[np.zeros_like(a), np.zeros_like(a)] for a in (self.emb, self.soft, self.bias)]
+        for step in range(1, epochs + 1):
+            v = self.vectors()
+            mean = np.stack([np.bincount(bag, v[words, d], n) for d in range(DIM)], 1) / size
+            z = mean @ self.soft + self.bias
+            p = np.exp(z - z.max(1, keepdims=True))
+            g = (p / p.sum(1, keepdims=True) - target) * weight[:, None]
+            back = g @ self.soft.T / size
+            to_word = np.stack([np.bincount(words, back[bag, d], self.words) for d in range(DIM)], 1) / self.size[:, None]
+            to_gram = np.stack([np.bincount(self.grams, to_word[self.owner, d], len(self.used)) for d in range(DIM)], 1)
+            # subwords of small weight move little: the floor under the root is part of the largest gradient
+            for a, grad, (m1, m2), rate, floor in zip((self.emb, self.soft, self.bias), (to_gram, mean.T @ g, g.sum(0)), state, (0.5, 0.1, 0.1), (0.02, 0.1, 0.1), strict=True):
+                m1 += 0.1 * (grad - m1)
+                m2 += 0.02 * (grad * grad - m2)
+                root = np.sqrt(m2 / (1 - 0.98**step))
+                a -= rate * (m1 / (1 - 0.9**step)) / (root + floor * max(float(root.max()), 1e-12))
+
+    def model(self) -> Model:
+        share = np.zeros(BUCKETS, np.float32)
+        share[self.used] = self.emb @ (self.soft[:, 1] - self.soft[:, 0])
+        return Model(share, float(self.bias[1] - self.bias[0]), 1.0, 0.0)
+
+
+def _within(ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of some ranges, and the range that each lies in."""
+    size = ranges[:, 1] - ranges[:, 0]
+    owner = np.repeat(np.arange(len(ranges)), size)
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + ranges[owner, 0], owner
+
+
+def _balanced(y: np.ndarray) -> np.ndarray:
+    """Weights by which both classes weigh one."""
+    return 1 / np.maximum(np.bincount(y, minlength=2), 1)[y]
+
+
+def train(texts: list[str], y: np.ndarray, seed: int = 3, epochs: int = 60, rounds: int = 2) -> Model:
     """Fit on whole texts; every fifth one only calibrates.
 
-    A training bag is a distinct word, weighed for either class by the share of
-    the class's documents that hold it; embeddings and softmax descend together
-    on the cross entropy of the bags' classes.
+    First every passage of a text is a bag of the text's class.  Then, for some
+    rounds, each text adds its most toxic passage: the one that its score is
+    taken from, so that chance words of clean texts lose weight.
     """
     n = len(texts)
     if not n or y.min() == y.max():
@@ -154,56 +211,35 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3, epochs: int = 70) -> M
     data, offsets = tn.buffers(pa.array(texts, pa.large_string()))
     b, off = padded(data, offsets)
     w = tn.Words(b, np.r_[0, off[1:]], tn.ALNUM)
-    kinds, where, typ = np.unique(w.hashes(), return_index=True, return_inverse=True)
-    fits = np.arange(n) % 5 != 4
-    pair = np.unique(typ.astype(np.int64) * n + w.doc)
-    pair = pair[fits[pair % n] & lettered(w)[where][pair // n]]
-    weight = np.stack([np.bincount((pair // n)[y[pair % n] == c], minlength=len(kinds)) / max((fits & (y == c)).sum(), 1) for c in (0, 1)], 1)
+    keep, first = fresh(w)
+    _, where, typ = np.unique(w.hashes()[keep], return_index=True, return_inverse=True)
     # subwords of each distinct word
-    length = w.end[where] - w.start[where]
-    v_off = np.r_[0, np.cumsum(length)]
-    pos = np.arange(v_off[-1]) - np.repeat(v_off[:-1], length) + np.repeat(w.start[where], length)
-    vb, vo = padded(b[pos], v_off)
-    grams, owner = [], []
-    for at, bucket in subwords(vb):
-        grams.append(bucket)
-        owner.append(np.searchsorted(vo, at + 1, "right") - 1)
-    grams, owner = np.concatenate(grams), np.concatenate(owner)
-    used, grams = np.unique(grams, return_inverse=True)
-    by_owner, by_gram = np.argsort(owner, kind="stable"), np.argsort(grams, kind="stable")
-    per_type = np.bincount(owner, minlength=len(kinds))
-    some = per_type > 0
-    to_type = np.r_[0, np.cumsum(per_type)[:-1]][some]
-    to_gram = np.r_[0, np.cumsum(np.bincount(grams))[:-1]]
-    grams_o, owner_g = grams[by_owner], owner[by_gram]
-    per_type = np.maximum(per_type, 1).astype(np.float32)[:, None]
-    weight = (weight / weight.sum(0)).astype(np.float32)
-    rng = np.random.default_rng(seed)
-    emb = (rng.standard_normal((len(used), DIM)) * 0.1).astype(np.float32)
-    soft = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    state = [[np.zeros_like(a), np.zeros_like(a)] for a in (emb, soft, bias)]
-    for step in range(1, epochs + 1):
-        bag = np.zeros((len(kinds), DIM), np.float32)
-        for d in range(DIM):
-            bag[some, d] = np.add.reduceat(emb[grams_o, d], to_type)
-        bag /= per_type
-        z = bag @ soft + bias
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        g = p * weight.sum(1, keepdims=True) - weight
-        back = np.ascontiguousarray((g @ soft.T / per_type).T)
-        g_emb = np.stack([np.add.reduceat(back[d][owner_g], to_gram) for d in range(DIM)], 1)
-        # subwords of small weight move little: the floor under the root is part of the largest gradient
-        for a, grad, (m1, m2), rate, floor in zip((emb, soft, bias), (g_emb, bag.T @ g, g.sum(0)), state, (0.5, 0.1, 0.1), (0.02, 0.1, 0.1), strict=True):
-            m1 += 0.1 * (grad - m1)
-            m2 += 0.02 * (grad * grad - m2)
-            v = np.sqrt(m2 / (1 - 0.98**step))
-            a -= rate * (m1 / (1 - 0.9**step)) / (v + floor * max(float(v.max()), 1e-12))
-    share = np.zeros(BUCKETS, np.float32)
-    share[used] = emb @ (soft[:, 1] - soft[:, 0])
-    model = Model(share, float(bias[1] - bias[0]), 1.0, 0.0)
+    begin, end = w.start[keep][where], w.end[keep][where]
+    pos, _ = _within(np.stack([begin, end], 1))
+    vb, vo = padded(b[pos], np.r_[0, np.cumsum(end - begin)])
+    found = [(bucket, np.searchsorted(vo, at + 1, "right") - 1) for at, bucket in subwords(vb)]
+    net = Net(*(np.concatenate(x) for x in zip(*found, strict=True)), len(where), seed)
+    fits = np.arange(n) % 5 != 4
+
+    def bags(step: int) -> tuple[np.ndarray, np.ndarray]:
+        ranges, doc = passages(first, step)
+        return ranges[fits[doc]], doc[fits[doc]]
+
+    ranges, doc = bags(WINDOW)
+    if len(ranges):
+        words, bag = _within(ranges)
+        net.descend(typ[words], bag, y[doc], _balanced(y[doc]), epochs)
+        near, near_doc = bags(STEP)
+        for _ in range(rounds):
+            score = net.vectors() @ (net.soft[:, 1] - net.soft[:, 0])
+            sums = np.r_[0, np.cumsum(score[typ])]
+            z = (sums[near[:, 1]] - sums[near[:, 0]]) / (near[:, 1] - near[:, 0])
+            order = np.lexsort((-z, near_doc))
+            top = order[np.r_[True, near_doc[order][1:] != near_doc[order][:-1]]]
+            words, bag = _within(np.concatenate([ranges, near[top]]))
+            weight = np.r_[_balanced(y[doc]), _balanced(y[near_doc[top]])] / 2
+            net.descend(typ[words], bag, y[np.r_[doc, near_doc[top]]], weight, max(1, epochs // 3))
+    model = net.model()
     held = ~fits
     if len(set(y[held])) < 2:
         held = np.ones(n, bool)
@@ -213,28 +249,32 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3, epochs: int = 70) -> M
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """The cut between the classes with the fewest errors, each class weighing the same, in the middle of its gap; a slope of the spread."""
+    """The cut between the classes with the fewest errors, in the middle of its gap; a slope of the spread."""
     order = np.argsort(z, kind="stable")
     z, y = z[order], y[order]
-    ones, zeros = max(y.sum(), 1), max((1 - y).sum(), 1)
-    wrong = np.r_[0, np.cumsum(y)] / ones - np.r_[0, np.cumsum(1 - y)] / zeros
-    k = np.flatnonzero(wrong <= wrong.min() + 1e-12)
+    wrong = np.r_[0, np.cumsum(y)] - np.r_[0, np.cumsum(1 - y)]
+    k = np.flatnonzero(wrong == wrong.min())
     k = int(k[len(k) // 2])
     lo, hi = z[max(k - 1, 0)], z[min(k, len(z) - 1)]
-    middle = (lo + hi) / 2
     slope = 4 / max(float(np.std(z)), 1e-3)
-    return slope, -slope * float(middle)
+    return slope, -slope * float((lo + hi) / 2)
 
 
 def sample(docs: DataFrame, labels: DataFrame, rule: Column, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> tuple[list[str], np.ndarray]:
-    """Whole texts and labels of about ``rows`` documents and at most ``size`` bytes of each class, chosen by the hash of their ids; long ones last."""
+    """Whole distinct texts and labels of about ``rows`` rows and at most ``size`` bytes of each class, or one text; long ones last.
+
+    Rows are chosen by their hashes and sizes alone; only the chosen texts are gathered.
+    """
     y = runtime.labels_of(labels, "toxic", rule)
-    some = runtime.sampled(y.where("y = 1"), "doc_id", rows).union(runtime.sampled(y.where("y = 0"), "doc_id", rows))
-    key = F.xxhash64(F.col("doc_id").cast("string"))
-    own = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")  # about 2 * rows ids
-    long = F.when(F.octet_length("text") > LONG_BYTES, F.octet_length("text")).otherwise(0)
-    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(long, key, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
-    got = own.withColumn("upto", upto).where(F.col("upto") <= size).orderBy(key, "doc_id", "text").select("text", "y").toArrow()
+    some = runtime.sampled(y.where("y = 1"), ["doc_id"], rows).union(runtime.sampled(y.where("y = 0"), ["doc_id"], rows))
+    own = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    found = own.select("doc_id", "h", F.octet_length("text").alias("n")).join(F.broadcast(some), "doc_id").distinct()  # about 2 * rows ids
+    found = runtime.cut(found)
+    picked = runtime.sampled(found.where("y = 1"), ["doc_id", "h"], rows).union(runtime.sampled(found.where("y = 0"), ["doc_id", "h"], rows))  # an id may have many texts
+    order = Window.partitionBy("y").orderBy(F.when(F.col("n") > LONG_BYTES, F.col("n")).otherwise(0), F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "h")
+    upto, place = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.row_number().over(order)
+    chosen = picked.withColumn("upto", upto).withColumn("place", place).where((F.col("upto") <= size) | (F.col("place") == 1)).select("doc_id", "h", "y")
+    got = own.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("doc_id", "h", "y").agg(F.first("text").alias("text")).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "h").select("text", "y").toArrow()
     return got["text"].to_pylist(), np.array(got["y"].to_pylist(), np.int64)
 
 
