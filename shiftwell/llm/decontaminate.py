@@ -1,24 +1,31 @@
 """Benchmark decontamination by winnowing.
 
-Of every 8 neighbouring hashes of 6-grams the smallest is kept as a
-fingerprint, so that every shared run of 13 words has a fingerprint in common.
-The fingerprints of documents are looked up among those of the benchmark, and
-each hit is extended word by word to both sides; runs of 13 words or more
-count.  An item of fewer words is one window, looked up by its own hash.
-
-The benchmark is sent to the executors in blocks of at most BLOCK_BYTES of
-text; a larger benchmark is looked up block after block, each over all
-documents, and the hits add up.
+Every run of SPAN words (a window) keeps the least of its hashed GRAM-grams as
+its fingerprint, so that equal windows have equal fingerprints.  Windows of
+the benchmark are rows (fingerprint, hash of the window it extends to).  The
+documents' fingerprints are looked up in a Bloom filter of the benchmark's,
+and only those that pass are extended to their windows, which are joined with
+the benchmark's by fingerprint and window.  Hits add up to spans, as
+neighbouring windows overlap.  An item of fewer words is one window, its own
+fingerprint.
+
+A window that a text repeats is one row with its places, and equal texts are
+looked up once, so the work grows with the number of words and not with the
+number of pairs of places.  Items that share the same windows are joined as
+sets: the set's digest stands for its items until the end.
+
+The filter has FILTER_BITS bits however large the benchmark is; it only spares
+the shuffle, the join decides.
 
 Defined results: a null or empty text has no words and no hits; items with a
 null id, a null text or no word are ignored, an item id that comes twice
-counts once; repeated rows are judged each; an empty benchmark hits nothing.
+counts once; repeated rows are judged each; an empty benchmark hits nothing;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,176 +36,181 @@ from . import runtime
 from . import textnp as tn
 
 SPAN, GRAM = 13, 6
-BLOCK_BYTES = 16_000_000
+FILTER_BITS = 25  # 2**25 bits are 4 MB
 
 
-def winnow(w: tn.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints and their first words: the 6-grams that are the least of some SPAN words."""
-    total = len(w.start)
-    at = w.window_starts(SPAN)
+def windows(w: tn.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints, hashes and first words of the windows of n words."""
+    at = w.window_starts(n)
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    g = np.maximum(rolling_or_self(w.hashes(), GRAM), np.uint64(1))
-    wide = SPAN - GRAM + 1
-    low = g[: total - SPAN + 1].copy()
-    for k in range(1, wide):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), at
+    h = w.hashes()
+    whole = h if n == 1 else tn.rolling(h, n)
+    if n < SPAN:
+        return whole[at], whole[at], at
+    g = tn.rolling(h, GRAM)
+    low = g[: len(h) - SPAN + 1].copy()
+    for k in range(1, SPAN - GRAM + 1):
         np.minimum(low, g[k : k + len(low)], out=low)
-    ok = np.zeros(len(low), bool)
-    ok[at] = True
-    low[~ok] = 0  # windows over two documents choose nothing
-    top = np.zeros(len(g), np.uint64)
-    for k in range(wide):
-        np.maximum(top[k : k + len(low)], low, out=top[k : k + len(low)])
-    p = np.flatnonzero(top == g)
-    return g[p], p
-
-
-def rolling_or_self(h: np.ndarray, n: int) -> np.ndarray:
-    return h if n == 1 else tn.rolling(h, n)
-
-
-@dataclass
-class Index:
-    """A block of the benchmark: its words, items' first words, fingerprints, and whole short items by length."""
-
-    names: list[str]
-    words: np.ndarray
-    first: np.ndarray
-    prints: np.ndarray
-    place: np.ndarray
-    short: dict[int, tuple[np.ndarray, np.ndarray]]
-
-    @classmethod
-    def of(cls, names: list[str], texts: list[str]) -> Index:
-        data, offsets = tn.buffers(pa.array(texts, pa.large_string()))
-        w = tn.Words(tn.LOWER[data], offsets, tn.ALNUM)
-        h = w.hashes()
-        g, p = winnow(w)
-        order = np.argsort(g, kind="stable")
-        short = {}
-        for n in range(1, SPAN):
-            own = np.flatnonzero(w.count == n)
-            if len(own):
-                x = rolling_or_self(h, n)[w.first[own]]
-                o = np.argsort(x, kind="stable")
-                short[n] = (x[o], own[o])
-        return cls(names, h, w.first, g[order], p[order], short)
-
-    def hits(self, w: tn.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Spans of words [begin, end) and their items."""
-        begin, end, item = [], [], []
-        h = w.hashes()
-        g, p = winnow(w)
-        lo, hi = np.searchsorted(self.prints, g, "left"), np.searchsorted(self.prints, g, "right")
-        many = hi - lo
-        if many.sum():
-            a = np.repeat(p, many)
-            q = self.place[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
-            who = np.searchsorted(self.first, q, "right") - 1
-            left = self._extend(h, a, q, -1, w.first[w.doc[a]], self.first[who])
-            right = self._extend(h, a, q, 1, w.first[w.doc[a] + 1] - 1, self.first[who + 1] - 1)
-            ok = left + right + 1 >= SPAN
-            begin.append((a - left)[ok]), end.append((a + right + 1)[ok]), item.append(who[ok])
-        for n, (x, own) in self.short.items():
-            if len(h) >= n:
-                at = w.window_starts(n)
-                v = rolling_or_self(h, n)[at]
-                lo, hi = np.searchsorted(x, v, "left"), np.searchsorted(x, v, "right")
-                many = hi - lo
-                k = np.repeat(at, many)
-                begin.append(k), end.append(k + n)
-                item.append(own[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)])
-        if not begin:
-            return (np.zeros(0, np.int64),) * 3
-        spans = np.unique(np.stack([np.concatenate(x) for x in (begin, end, item)], 1), axis=0)
-        return spans[:, 0], spans[:, 1], spans[:, 2]
-
-    def _extend(self, h: np.ndarray, a: np.ndarray, q: np.ndarray, step: int, a_end: np.ndarray, q_end: np.ndarray) -> np.ndarray:
-        """How many words to one side are the same; a itself counts as the same."""
-        far = np.zeros(len(a), np.int64)
-        live = np.arange(len(a))
-        room = np.minimum(np.abs(a_end - a), np.abs(q_end - q))
-        n = 1
-        while len(live):
-            live = live[room[live] >= n]
-            live = live[h[a[live] + step * n] == self.words[q[live] + step * n]]
-            far[live] = n
-            n += 1
-        # the words of the hit itself are compared too, so that a hash alone decides nothing
-        return np.where(h[a] == self.words[q], far, -len(h))
-
-
-def _scan(index: Index, col: pa.Array):
-    """For each text: words, word spans that are hit, items that are hit."""
+    return low[at], whole[at], at
+
+
+def _bit(prints: np.ndarray, bits: int) -> np.ndarray:
+    return (tn.mix(prints) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _batches(col: pa.Array):
+    """Words of whole texts, A-Z lower-cased, part by part, with the parts' first and last rows."""
     data, offsets = tn.buffers(col)
     data = tn.LOWER[data]
     for a, b in tn.chunks(offsets):
-        w = tn.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tn.ALNUM)
-        begin, end, item = index.hits(w)
-        doc = w.doc[begin]
-        for k in range(b - a):
-            lo, hi = np.searchsorted(doc, [k, k + 1])
-            yield int(w.count[k]), np.stack([begin[lo:hi] - w.first[k], end[lo:hi] - w.first[k]], 1), sorted({index.names[i] for i in item[lo:hi]})
+        yield tn.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tn.ALNUM), a, b
+
+
+def index(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Windows (n, fp, win, set) of the items, the items of each set (set, item), and the windows' lengths."""
+
+    def run(it):
+        for batch in it:
+            for w, a, b in _batches(batch.column(1)):
+                item = batch.column(0).slice(a, b - a)
+                for n in range(1, SPAN + 1):
+                    fp, win, at = windows(w, n)
+                    ok = (w.count[w.doc[at]] == n) | (n == SPAN)
+                    if ok.any():
+                        _, one = np.unique(np.stack([win[ok], w.doc[at][ok].astype(np.uint64)], 1), axis=0, return_index=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), n, np.int32)), *(pa.array(x[ok][one].view(np.int64)) for x in (fp, win)), item.take(pa.array(w.doc[at][ok][one]))], ["n", "fp", "win", "item"])
+
+    own = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    rows = runtime.stored(own.mapInArrow(run, "n int, fp long, win long, item string").distinct())
+    # a set of items by count, sum and xor of hashes: no window's items are gathered
+    h = F.xxhash64("item")
+    keyed = rows.groupBy("n", "fp", "win").agg(F.sha2(F.concat_ws(" ", F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h), F.bit_xor(F.xxhash64("item", F.lit(1)))), 256).alias("set"))
+    keyed = runtime.stored(keyed)
+    one = keyed.groupBy("set").agg(F.min(F.struct("n", "fp", "win")).alias("w")).select("set", "w.*")
+    items = rows.join(one, ["n", "fp", "win"]).select("set", "item")
+    return keyed, items, sorted(r["n"] for r in keyed.select("n").distinct().collect())
+
+
+def _filter(keyed: DataFrame, bits: int) -> np.ndarray:
+    def run(it):
+        for b in it:
+            yield pa.RecordBatch.from_arrays([pa.array(_bit(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits))], ["place"])
+
+    words = keyed.select("fp").distinct().mapInArrow(run, "place long").groupBy(F.floor(F.col("place") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for b in words.toArrow().to_batches():  # at most 2**(bits - 6) rows
+        out[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    return out.view(np.uint64)
+
+
+_FOUND = "n_words long, key binary, found array<struct<n: int, fp: long, win: long, at: binary>>"
+
+
+def marked(docs: DataFrame, keyed: DataFrame, lengths: list[int]) -> DataFrame:
+    """docs with n_words and, where a fingerprint may be the benchmark's, the text's digest (key) and its windows (found)."""
+    runtime.ship(docs.sparkSession)
+    bits = FILTER_BITS
+    bloom = docs.sparkSession.sparkContext.broadcast(_filter(keyed, bits))  # fixed size
+    names, text = docs.columns, docs.columns.index("text")
+    kind = pa.list_(pa.struct([("n", pa.int32()), ("fp", pa.int64()), ("win", pa.int64()), ("at", pa.binary())]))
+
+    def candidates(w: tn.Words):
+        """For each text: its distinct windows that pass the filter."""
+        out: dict[int, list] = {}
+        for n in lengths:
+            fp, win, at = windows(w, n)
+            place = _bit(fp, bits)
+            ok = np.flatnonzero((bloom.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
+            if len(ok):
+                doc = w.doc[at[ok]]
+                by = np.lexsort((at[ok], win[ok], doc))
+                ok, doc = ok[by], doc[by]
+                edge = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (win[ok][1:] != win[ok][:-1])])
+                for i, j in zip(edge, np.r_[edge[1:], len(ok)], strict=True):
+                    places = (at[ok[i:j]] - w.first[doc[i]]).astype("<i4").tobytes()
+                    out.setdefault(int(doc[i]), []).append({"n": n, "fp": int(fp[ok[i]].view(np.int64)), "win": int(win[ok[i]].view(np.int64)), "at": places})
+        return out
+
+    def run(it):
+        for batch in it:
+            n_words, key, found = [], [], []
+            for w, a, b in _batches(batch.column(text).cast(pa.string())):
+                n_words += w.count.tolist()
+                got = candidates(w)
+                for k in range(b - a):
+                    own = got.get(k)
+                    found.append(own)
+                    key.append(hashlib.blake2b(w.data[w.offsets[k] : w.offsets[k + 1]].tobytes(), digest_size=16).digest() if own else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(key, pa.binary()), pa.array(found, kind)], [*names, "n_words", "key", "found"])
 
+    from pyspark.sql import types as T
 
-def _blocks(benchmark: DataFrame) -> list[Index]:
-    own = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("string").alias("text"))
-    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-2 * size // BLOCK_BYTES) if size > BLOCK_BYTES else 1
-    blocks = []
-    for k in range(n):
-        rows = own.where(F.pmod(F.xxhash64("name"), F.lit(n)) == k).collect()  # about half of BLOCK_BYTES
-        blocks.append(Index.of([r["name"] for r in rows], [r["text"] for r in rows]))
-    return blocks
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T._parse_datatype_string(_FOUND).fields]))
+
+
+def joined(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(key, n, at, set) of the windows of marked rows that the benchmark holds; equal texts count once."""
+    each = rows.where("key is not null").select("key", F.explode("found").alias("f")).select("key", "f.*")
+    return each.join(keyed, ["n", "fp", "win"]).select("key", "n", "at", "set").distinct()
+
+
+def _covered(it):
+    for b in it:
+        out = []
+        for sizes, places in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            at = [np.frombuffer(x, "<i4").astype(np.int64) for x in places]
+            length = np.repeat(sizes, [len(x) for x in at])
+            at = np.concatenate(at)
+            inside = tn.covered(int((at + length).max()), at, length).view(np.int8)
+            edge = np.flatnonzero(np.diff(np.r_[0, inside, 0]))
+            out.append(edge.tolist())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["key", "spans"])
+
+
+def spans(found: DataFrame) -> DataFrame:
+    """(key, spans: begin and end words of the maximal runs of hit words)."""
+    own = found.select("key", "n", "at").distinct().groupBy("key").agg(F.collect_list(F.struct("n", "at")).alias("w")).select("key", F.col("w.n").alias("n"), F.col("w.at").alias("at"))
+    return own.mapInArrow(_covered, "key binary, spans array<int>")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_words, spans: begin and end words, items) for every row of docs."""
-    spark = docs.sparkSession
-    runtime.ship(spark)
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    blocks = _blocks(benchmark)
-    for k, index in enumerate(blocks):
-        bc, last = spark.sparkContext.broadcast(index), k == len(blocks) - 1  # at most BLOCK_BYTES of text
-
-        def run(it, bc=bc, last=last, only=len(blocks) == 1):
-            for b in it:
-                n, spans, items = [], [], []
-                before = None if only else (b.column(3).to_pylist(), b.column(4).to_pylist())
-                for j, (words, span, names) in enumerate(_scan(bc.value, b.column(1))):
-                    n.append(words)
-                    spans.append((before[0][j] if before else []) + span.ravel().tolist())
-                    items.append(sorted({*before[1][j], *names}) if before else names)
-                cols = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-                keep = [b.column(0)] if last else [b.column(0), b.column(1)]
-                yield pa.RecordBatch.from_arrays([*keep, *cols], ["doc_id", *([] if last else ["text"]), "n_words", "spans", "items"])
-
-        out = out.mapInArrow(run, f"doc_id {kind}, {'' if last else 'text string, '}n_words long, spans array<int>, items array<string>")
-        if not last:
-            out = runtime.stored(out)
-    return out
+    """(doc_id, n_words, spans: begin and end words, items) for every row of docs."""
+    runtime.ship(docs.sparkSession)
+    keyed, items, lengths = index(benchmark)
+    rows = runtime.stored(marked(docs.select(F.col(id_col).alias("doc_id"), F.col("text").cast("string").alias("text")), keyed, lengths).drop("text"))
+    found = runtime.stored(joined(rows, keyed))
+    names = found.select("key", "set").distinct().join(items, "set").select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    both = spans(found).join(names, "key")
+    hit = rows.where("key is not null").join(both, "key", "left")  # the others have no hits: only candidates are shuffled
+    none = [F.expr("cast(array() as array<int>)"), F.expr("cast(array() as array<string>)")]
+    plain = rows.where("key is null").select("doc_id", "n_words", none[0].alias("spans"), none[1].alias("items"))
+    return plain.union(hit.select("doc_id", "n_words", F.coalesce("spans", none[0]), F.coalesce("items", none[1])))
+
+
+def n_hit(of: str = "spans"):
+    """Words within spans."""
+    return F.aggregate(F.transform(of, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def contaminated(hit, words):
+    return (hit > 0) & (F.lit(20) * hit >= words)
 
 
 def digest(found: DataFrame) -> DataFrame:
     """n_hit, n_items, items_sha256 and contaminated of rows of hits."""
-    kind = found.schema["doc_id"].dataType.simpleString()
-
-    def run(it):
-        for b in it:
-            n_hit = []
-            for s in b.column(2).to_pylist():
-                if s:
-                    e = np.array(s).reshape(-1, 2)
-                    n_hit.append(int(tn.covered(int(e.max()), e[:, 0], e[:, 1] - e[:, 0]).sum()))
-                else:
-                    n_hit.append(0)
-            items = b.column(3).to_pylist()
-            cols = [pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
-
-    out = found.select("doc_id", "n_words", "spans", "items").mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(20) * F.col("n_hit") >= F.col("n_words")))
+    out = found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", contaminated(F.col("n_hit"), F.col("n_words")))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that are not contaminated; texts are not shuffled while few of them are."""
+    runtime.ship(docs.sparkSession)
+    keyed, _, lengths = index(benchmark)
+    rows = marked(docs, keyed, lengths)
+    found = spans(joined(rows.select("n_words", "key", "found"), keyed)).join(rows.where("key is not null").select("key", "n_words").distinct(), "key")
+    bad = found.where(contaminated(n_hit(), F.col("n_words"))).select("key")
+    return runtime.without(rows.drop("n_words", "found"), bad, ["key"]).select(*docs.columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
