@@ -13,7 +13,8 @@ default, allow, as the cascade then says that nothing is listed.
 
 The filters travel in the plan as arrays of numbers; their size is bounded by
 MAX_KEYS listed keys times the bits of a key, which grow with the logarithm of
-the corpus.  A longer list is joined by key instead, with the same results.
+the corpus.  A longer list is dealt by key hash to parts of about MAX_KEYS,
+each with its own cascades and its own pass over the pages.
 
 Defined results: host and path are empty for a null URL or one without
 ``://``; such URLs get the default; rules that are listed twice count once, if
@@ -66,7 +67,7 @@ class Level:
         return [F.pmod(F.xxhash64(key, F.lit(self.seed), F.lit(i)), F.lit(self.bits)) for i in range(self.hashes)]
 
     def holds(self, key: Column) -> Column:
-        words = F.array(*(F.lit(w) for w in self.words))
+        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to one literal
         out = F.lit(True)
         for p in self.places(key):
             word = F.element_at(words, (F.floor(p / 64) + 1).cast("int"))
@@ -121,33 +122,34 @@ def _named(verdict: str):
     return lambda x: F.struct(F.length(x).alias("n"), x.alias("rule"), F.lit(verdict).alias("verdict"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", most: int = MAX_KEYS) -> DataFrame:
     """pages with host, path, rule (text or null) and verdict; rules: host, path, verdict (allow or block)."""
     listed = runtime.cut(rules.where("host is not null and path is not null").select(F.concat("host", "path").alias("key"), F.length("path").alias("n"), "verdict").distinct())
     lengths = sorted(r["n"] for r in listed.select("n").distinct().collect())
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "_host", "_path", "_best")]
-    parsed = pages.select(*kept, host(F.col(url_col)).alias("_host"), path(F.col(url_col)).alias("_path"))
+    best = pages.select(*kept, host(F.col(url_col)).alias("_host"), path(F.col(url_col)).alias("_path"), F.expr("cast(null as struct<n: int, rule: string, verdict: string>)").alias("_best"))
     keys = candidates(F.col("_host"), F.col("_path"), lengths) if lengths else F.expr("cast(array() as array<string>)")
-    if listed.count() > MAX_KEYS:
-        best = _joined(parsed, listed, keys)
-    else:
-        universe = runtime.cut(parsed.select(F.explode(keys).alias("key")).distinct())
+    parts = max(1, -(-listed.count() // most))
+
+    def in_part(p: int):
+        return lambda key: F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts)) == p
+
+    universe = best.select(F.explode(keys).alias("key")).distinct()
+    universe = runtime.cut(universe if parts == 1 else universe.repartition("key"))
+    for p in range(parts):
+        own = keys if parts == 1 else F.filter(keys, in_part(p))
+        here = lambda df, p=p: df if parts == 1 else df.where(in_part(p)(F.col("key")))
         found = []
         for k, verdict in enumerate(("allow", "block")):
-            cascade = build_cascade(listed.where(F.col("verdict") == verdict).select("key"), universe, 1000 * k)
+            cascade = build_cascade(here(listed.where(F.col("verdict") == verdict)).select("key").distinct(), here(universe), 1000 * k)
             if cascade.levels:
-                found.append(F.transform(F.filter(keys, cascade.lists), _named(verdict)))
-        best = parsed.withColumn("_best", F.array_max(F.concat(*found)) if found else F.expr("cast(null as struct<n: int, rule: string, verdict: string>)"))
+                found.append(F.transform(F.filter(own, cascade.lists), _named(verdict)))
+        if found:
+            best = best.withColumn("_best", F.greatest("_best", F.array_max(F.concat(*found))))
+            best = best if p == parts - 1 else runtime.cut(best)  # the filters of one part at a time are in a plan
     return best.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit("allow")).alias("verdict"))
 
 
-def _joined(parsed: DataFrame, listed: DataFrame, keys: Column) -> DataFrame:
-    """The same for lists beyond MAX_KEYS: distinct (host, path) pairs, exploded and joined by key."""
-    pairs = parsed.select("_host", "_path", F.explode_outer(keys).alias("key")).distinct()
-    best = pairs.join(listed, "key").groupBy("_host", "_path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("rule"), "verdict")).alias("_best"))
-    return parsed.join(best, ["_host", "_path"], "left")
-
-
 #: (host, path, verdict)
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
