@@ -16,13 +16,12 @@ are joined by alternating large-star and small-star steps with checkpoints.
 Defined results: null, empty and wordless texts have fingerprint zero and are
 linked like any other; rows with the same id are judged each; a row with a
 null id gets a component like any other, which takes its name from the ids
-that are not null (null if there is none); an empty table gives no rows.
+that are not null (null if there is none); an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,17 +31,17 @@ from . import runtime, simhash
 
 HOT, BLOCK = 512, 4096
 BITS = 3
+HUB, MAX_HUBS = 1024, 10_000
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", also: Sequence[str] = ()) -> DataFrame:
-    """(id, fp: the fingerprint as a signed long, columns ``also``) for every row of docs."""
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, fp: the fingerprint as a signed long) for every row of docs."""
 
     def run(it):
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhash.fingerprints(b.column(1)).view(np.int64)), *b.columns[2:]], [id_col, "fp", *also])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhash.fingerprints(b.column(1)).view(np.int64))], [id_col, "fp"])
 
-    kind = lambda c: docs.schema[c].dataType.simpleString()
-    return docs.select(id_col, F.col("text").cast("string"), *also).mapInArrow(run, ", ".join([f"{id_col} {kind(id_col)}, fp long", *(f"{c} {kind(c)}" for c in also)]))
+    return docs.select(id_col, F.col("text").cast("string")).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 def _correlation(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -105,7 +104,13 @@ def links(nodes: DataFrame, most: int = BITS) -> DataFrame:
         return nodes.select("fp").mapInArrow(run, "part int, value long, fp long")
 
     index, probe = runtime.stored(keys(False)), runtime.stored(keys(True))  # read several times
-    hot = runtime.cut(index.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
+    # hot: a value with many entries, or with many probes for its entries
+    counted = index.groupBy("part", "value").agg(F.count("*").alias("n"))
+    if any(t > 0 for _, _, t in used):
+        counted = counted.join(probe.groupBy("part", "value").agg(F.count("*").alias("p")), ["part", "value"])
+    else:
+        counted = counted.withColumn("p", F.col("n"))  # every entry is its own only probe
+    hot = runtime.cut(counted.where((F.col("n") > HOT) | (F.col("n") * F.col("p") > HOT * HOT)))
     cold = index.join(hot.select("part", "value"), ["part", "value"], "left_anti").withColumnRenamed("fp", "y")
     pairs = probe.withColumnRenamed("fp", "x").join(cold, ["part", "value"]).where("x < y").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most)
     found = pairs.select(F.col("x").alias("u"), F.col("y").alias("v"))
@@ -116,8 +121,7 @@ def links(nodes: DataFrame, most: int = BITS) -> DataFrame:
 
 def _hot_links(index: DataFrame, probe: DataFrame, hot: DataFrame, most: int) -> DataFrame:
     """Edges of hot partition values, from blocks of probes against blocks of the index."""
-    asked = probe.join(hot, ["part", "value"], "left_semi").groupBy("part", "value").agg(F.count("*").alias("p"))
-    blocks = hot.join(asked, ["part", "value"]).select("part", "value", F.ceil(F.col("p") / BLOCK).alias("pb"), F.ceil(F.col("n") / BLOCK).alias("eb"))
+    blocks = hot.select("part", "value", F.ceil(F.col("p") / BLOCK).alias("pb"), F.ceil(F.col("n") / BLOCK).alias("eb"))
     at = lambda n: F.pmod(F.xxhash64("fp"), F.col(n))
     left = probe.join(blocks, ["part", "value"]).select("part", "value", at("pb").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("eb") - 1)).alias("b"), "fp", F.lit(True).alias("probe"))
     right = index.join(blocks, ["part", "value"]).select("part", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pb") - 1)).alias("a"), at("eb").alias("b"), "fp", F.lit(False).alias("probe"))
@@ -130,37 +134,82 @@ def _hot_links(index: DataFrame, probe: DataFrame, hot: DataFrame, most: int) ->
     return left.union(right).groupBy("part", "value", "a", "b").applyInArrow(run, "u long, v long")
 
 
+def star_join(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with facts (one row for each key, n: how many rows have it, and no more columns than a few numbers).
+
+    Hubs, keys of more than HUB rows and of more than one row in MAX_HUBS, are
+    at most MAX_HUBS: their facts are sent to all executors, and their rows stay
+    where they are.  The other keys' rows are shuffled.
+    """
+    least = max(HUB, total // MAX_HUBS)
+    hubs = F.broadcast(facts.where(F.col("n") > least).drop("n"))  # at most MAX_HUBS rows
+    rest = rows.join(hubs.select(key), key, "left_anti").join(facts.where(F.col("n") <= least).drop("n"), key)
+    return rows.join(hubs, key).unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v); root is the least node that it reaches."""
     both = lambda e: e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least_of = lambda e: e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     e = runtime.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    now = state(e)
     while True:
+        before = now
         # large star: neighbours above a node go to the least of its neighbourhood
         pairs = both(e)
-        low = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = pairs.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = least_of(pairs).select("u", F.least("u", "m").alias("m"), "n")
+        large = runtime.cut(star_join(pairs.where("v > u"), low, "u", 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: a node and its lower neighbours go to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        e = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = runtime.cut(e)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        low = least_of(large)
+        small = star_join(large, low, "u", before[0])
+        e = runtime.cut(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
+        now = state(e)
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", most: int = BITS, also: Sequence[str] = ()) -> DataFrame:
-    """(id, fp, component_id, columns ``also``) for every row of docs; component_id is the smallest id reachable over links of up to ``most`` bits."""
-    runtime.ship(docs.sparkSession)
-    marked = runtime.stored(with_fingerprints(docs, id_col, also))
-    nodes = runtime.cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
+def _named(marked: DataFrame, least, most: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows of marked by root, each root's ``least`` (an aggregate over the fingerprints' own), and the number of rows.
+
+    marked: fp and the columns that ``least`` is made of.
+    """
+    nodes = runtime.cut(marked.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("n")))
     roots = components(links(nodes, most))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    own = named.join(names, "root").select("fp", "component_id")
-    return marked.join(own, "fp").select(id_col, "fp", "component_id", *also)
+    named = runtime.cut(named)
+    total = nodes.agg(F.count("*"), F.sum("n")).first()
+    names = named.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n"))
+    own = star_join(named.select("root", "fp", F.col("n").alias("rows")), names, "root", total[0]).select("fp", "component", F.col("rows").alias("n"))
+    return own, total[1] or 0
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", most: int = BITS) -> DataFrame:
+    """(id, fp, component_id) for every row of docs; component_id is the smallest id reachable over links of up to ``most`` bits."""
+    runtime.ship(docs.sparkSession)
+    marked = runtime.stored(with_fingerprints(docs, id_col))
+    own, total = _named(marked, F.col(id_col), most)
+    return star_join(marked, own, "fp", total).select(id_col, "fp", F.col("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", most: int = BITS) -> DataFrame:
+    """One row of docs for each component: that of the smallest id (a null id after all others), then of the least hash of the whole row.
+
+    Rows are told apart by two hashes of all their columns.  What goes is found
+    from ids and hashes; the texts are not shuffled while it is little.
+    """
+    runtime.ship(docs.sparkSession)
+    names = docs.columns
+    hashed = docs.withColumns({"_a": F.xxhash64(*names), "_b": F.xxhash64(F.lit(1), *names)})
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_a").alias("a"), F.col("_b").alias("b"))
+    marked = runtime.stored(with_fingerprints(hashed.select(row.alias("_row"), "text"), "_row"))
+    own, total = _named(marked, F.col("_row"), most)
+    judged = star_join(marked, own, "fp", total).groupBy("_row").agg(F.min("component").alias("component"), F.count("*").alias("n"))
+    judged = runtime.stored(judged.select("_row", (F.col("_row") == F.col("component")).alias("stays"), "n").where("not stays or n > 1"))
+    keys = judged.select(F.col("_row.a").alias("_a"), F.col("_row.b").alias("_b"), "stays")
+    kept = runtime.without(hashed, keys.select("_a", "_b"), ["_a", "_b"])
+    repeated = runtime.within(hashed, keys.where("stays").select("_a", "_b"), ["_a", "_b"]).dropDuplicates(["_a", "_b"])
+    return kept.union(repeated).select(*names)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,8 +68,17 @@ SMALL_KEYS = 500_000
 
 def without(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows of df whose columns ``on`` are not among the keys (distinct, few columns); the texts are not shuffled while the keys are few."""
+    return df.join(_sent(keys), on, "left_anti")
+
+
+def within(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of df whose columns ``on`` are among the keys (distinct, few columns)."""
+    return df.join(_sent(keys), on, "left_semi")
+
+
+def _sent(keys: DataFrame) -> DataFrame:
     keys = stored(keys)
-    return df.join(F.broadcast(keys) if keys.count() <= SMALL_KEYS else keys, on, "left_anti")
+    return F.broadcast(keys) if keys.count() <= SMALL_KEYS else keys
 
 
 def ship(spark: SparkSession) -> None:

@@ -94,3 +94,29 @@ def test_repeated_turns(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (None, 0, "user", "n")], "conv_id long, turn long, role string, text string")
     out = {r.tree: [x.text for x in r.t] for r in chat.format_trees(chat.chains(df)).select("tree", chat.read_back(F.col("formatted")).alias("t")).collect()}
     assert out == {1: ["", "a", "a"], None: ["n"]}
+
+
+def test_leaf_on_a_cycle(spark):
+    """What hangs on a cycle has no root: no conversation is made up; other trees of any depth stay whole."""
+    rows = [("c", 1, 2, "user", "A", 0.0), ("c", 2, 1, "user", "B", 0.0), ("c", 3, 1, "user", "leaf", 0.0), ("c", 4, 3, "user", "leaf of it", 0.0), ("c", 9, None, "user", "own root", 0.0)]
+    rows += [("d", i, i - 1 if i else None, "user", str(i), 0.0) for i in range(37)] + [("e", 1, None, None, "x", 0.0)]
+    out = chat.format_trees(spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")).select("tree", chat.read_back(F.col("formatted")).alias("t")).collect()
+    assert sorted((r.tree, [t.text for t in r.t]) for r in out) == [("c", ["own root"]), ("d", [str(i) for i in range(37)]), ("e", ["x"])]
+
+
+@pytest.mark.parametrize("most", [100_000, 300])
+def test_many_rules(spark, most):
+    """Lists as long as one cascade takes, and lists in parts, against a dictionary."""
+    n = 100_000 if most == 100_000 else 1000
+    rules = spark.range(n).selectExpr("concat('h', id, '.org') as host", "if(id % 3 = 0, '/a', '/') as path", "if(id % 5 = 0, 'allow', 'block') as verdict")
+    rules = rules.union(spark.sql("select 'org', '/', 'block'")).union(spark.sql("select 'h6.org', '/a', 'block'"))
+    pages = spark.range(0, 4000).selectExpr("id as page_id", "concat('http://x.h', id * 50, '.org/', if(id % 2 = 0, 'a/b', 'b')) as url", "1 as rule")
+    out = urlfilter.judge(pages, rules, most=most).collect()
+    assert len(out) == 4000
+    for r in out:
+        i = r.page_id * 50
+        rule = None
+        if i < n and (i % 3 or r.page_id % 2 == 0):
+            rule = f"h{i}.org/" + ("a" if i % 3 == 0 else "")
+        verdict = "block" if rule is None or i % 5 or i == 6 else "allow"
+        assert (r.rule, r.verdict) == (rule or "org/", verdict)

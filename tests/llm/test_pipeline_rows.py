@@ -27,10 +27,13 @@ def test_quality_judges_rows(spark, docs, sf_dir):
     assert plain(got.where("doc_id < 1000000")) == plain(own.where(own.doc_id.isin([k for k, s in score.items() if s >= 0.5])))
 
 
-def test_near_duplicates_judge_rows(spark, docs, sf_dir):
-    a, b = (r.text for r in docs.where("text is not null").orderBy("doc_id").limit(2).collect())
-    got = corpus_pipeline.near_duplicate_stage(spark, frame(spark, [(1, a), (5, a), (5, b), (None, a)]), sf_dir)
-    assert plain(got) == sorted([(1, a), (5, b), (None, a)], key=str)
+def test_near_duplicates_judge_rows(spark, docs, sf_dir, monkeypatch):
+    a, b, c = (r.text for r in docs.where("length(text) > 300").orderBy("doc_id").limit(3).collect())
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, c), (None, c), (7, b), (7, b), (9, None), (9, None), (8, "")]
+    for most in (500_000, 0):
+        monkeypatch.setattr(corpus_pipeline.runtime, "SMALL_KEYS", most)
+        df = spark.createDataFrame([(k, t, "en", "src", len(t or "")) for k, t in rows], KIND)
+        assert plain(corpus_pipeline.near_duplicate_stage(spark, df, sf_dir)) == sorted([(1, a), (5, b), (None, c), (8, "")], key=str)
 
 
 def test_decontamination_judges_rows(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -48,9 +49,9 @@ def plain_hits(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 300])
-def test_decontamination_by_brute_force(spark, odd, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("bits", [decontaminate.FILTER_BITS, 6])
+def test_decontamination_by_brute_force(spark, odd, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
     some = [r.text for r in odd.orderBy("doc_id").limit(12).collect() if r.text]
     items = [(1, some[1]), (2, "ta ri"), (3, None), (4, "Same LINE here"), (5, ""), (None, some[2]), (6, " ".join(some[3].split()[2:20]) + " other words"), (10, "x " * 40), (1, some[1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -63,6 +64,29 @@ def test_decontamination_by_brute_force(spark, odd, monkeypatch, block):
     assert decontaminate.hits(odd.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_repeated_words(spark):
+    """A run of one word against a longer run: the work grows with the words, not with the pairs of places."""
+    start = time.time()
+    docs = spark.createDataFrame([(1, "x " * 30000), (2, "x " * 12 + "y"), (3, "y " + "x " * 14 + "z")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "x " * 10000), (2, "x " * 9999 + "y")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.digest(decontaminate.hits(docs, bench)).collect()}
+    assert got == {1: (30000, 2), 2: (13, 1), 3: (14, 2)} and time.time() - start < 30
+    w = decontaminate.tn.Words(np.frombuffer(b"x " * 30000, np.uint8), np.array([0, 60000]), decontaminate.tn.ALNUM)
+    start = time.time()
+    assert len(np.unique(decontaminate.windows(w, 13)[1])) == 1 and time.time() - start < 1
+
+
+def test_decontaminated_rows(spark, odd):
+    """clean keeps the rows that digest doesn't call contaminated, whichever way the keys go."""
+    bench = spark.createDataFrame([(1, odd.where("doc_id = 3").first().text), (2, "same line here")], "item_id long, text string")
+    bad = {r.doc_id for r in decontaminate.digest(decontaminate.hits(odd, bench)).where("contaminated").collect()}
+    for most in (500_000, 0):
+        decontaminate.runtime.SMALL_KEYS = most
+        got = decontaminate.clean(odd, bench)
+        assert got.columns == odd.columns and sorted(map(str, (r.doc_id for r in got.collect()))) == sorted(str(r.doc_id) for r in odd.collect() if r.doc_id not in bad)
+    decontaminate.runtime.SMALL_KEYS = 500_000
+
+
 # -- substring dedup
 
 
@@ -236,3 +260,12 @@ def test_allocation():
     corr[0, 63] = corr[63, 0] = 0.9
     groups = simhash.group_bits(corr, 3)
     assert sorted(b for g in groups for b in g) == list(range(64)) and any({0, 63} <= set(g) for g in groups)
+
+
+def test_star_of_many(spark, monkeypatch):
+    """Hubs: a star's rows are joined where they are, and components stay right."""
+    monkeypatch.setattr(neardup, "HUB", 50)
+    n = 100_000
+    edges = spark.range(1, n + 1).selectExpr("id + 10 as u", "5L as v").union(spark.createDataFrame([(7, 3), (3, 5), (2, 1)], "u long, v long"))
+    got = neardup.components(edges).groupBy("root").count().collect()
+    assert {r.root: r["count"] for r in got} == {3: n + 2, 1: 1} or {r.root: r["count"] for r in got} == {3: n + 3, 1: 2}
