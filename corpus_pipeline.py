@@ -20,14 +20,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the rows with the smallest id; rows without an id stay.
+    """Of each group of near duplicates one row: that of the smallest id, of those with that id the one of the least text hash.
 
     Follows op10's contract: 3-word shingles, at most 3 differing bits, transitive, no check of similarity.
-    Where an id comes with several texts, each text is judged by itself.
+    Rows are judged, not ids: an id may be null (such a row stays only if no row of its group has an id), come twice, or
+    come with several texts; of rows that are equal in all columns one stays.
     """
-    own = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
-    gone = neardup.near_duplicates(own, also=["text_hash"]).where("doc_id <> component_id").select("doc_id", "text_hash").distinct()
-    return own.join(gone, ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
+    return neardup.one_of_each(docs.select(*COLUMNS))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +36,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated with the benchmark; each row is judged by its own text, as in the quality stage."""
-    rows = docs.select(F.struct(*COLUMNS).alias("row"), "text")
-    found = decontaminate.digest(decontaminate.hits(rows, runtime.read(spark, sf_dir, "benchmark"), "row"))
-    return found.where("not contaminated").select(*(F.col(f"doc_id.{c}").alias(c) for c in COLUMNS))
+    return decontaminate.clean(docs.select(*COLUMNS), runtime.read(spark, sf_dir, "benchmark"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +58,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written and read again, as the next one's docs."""
     docs = runtime.read(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = runtime.stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = runtime.stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
