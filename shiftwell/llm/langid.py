@@ -13,7 +13,8 @@ remaining classes by hash of their code point.
 
 Defined results: ``und`` with score 0 for a null text, or one without a
 letter, and where nothing could be learnt; ties go to the first language in
-order; repeated rows are judged each; null languages teach nothing.
+order; repeated rows are judged each; null languages teach nothing; a column
+of more than MAX_LANGS different values is no language column, an error.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from . import runtime
 
 DIM = 1024
+MAX_LANGS = 4096  # prototypes that are sent to every worker, 4 KB each
 CLASSES = 64
 SEED = 11
 _CHUNK_CHARS = 1 << 20
@@ -140,7 +142,10 @@ def learn(docs: DataFrame, rule: Column) -> tuple[list[str], np.ndarray]:
 
     parts = docs.where(rule & F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
     # whole numbers: the sum doesn't depend on the order of tasks
-    rows = parts.mapInArrow(bundle, "lang string, i long, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).toPandas()  # languages x DIM
+    summed = runtime.cut(parts.mapInArrow(bundle, "lang string, i long, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")))
+    if (n := summed.count() // dim) > MAX_LANGS:
+        raise ValueError(f"{n} languages: more than {MAX_LANGS}")
+    rows = summed.toPandas()  # MAX_LANGS x DIM at most
     if not len(rows):
         return [], np.zeros((0, dim))
     p = rows.pivot(index="lang", columns="i", values="v").sort_index()
