@@ -14,9 +14,15 @@ from pyspark.sql import functions as F
 
 
 def event_op(kind: Column) -> Column:
-    """I, U or D of a row event's type or a statement's verb; others are no data changes (NotDML)."""
-    k = F.lower(F.trim(kind))
-    return F.when(k.rlike(r"^(writerows|insert|replace)"), "I").when(k.rlike(r"^(updaterows|update)"), "U").when(k.rlike(r"^(deleterows|delete)"), "D").otherwise("NotDML")
+    """I, U or D of a row event's type or of a statement's first word; all else, a replace too, is no data change (NotDML)."""
+    first = F.trim(F.substring_index(kind, " ", 1))
+    is_ = lambda verb, event: (F.lower(first) == verb) | F.startswith(first, F.lit(event))
+    return F.when(is_("insert", "WriteRows"), "I").when(is_("update", "UpdateRows"), "U").when(is_("delete", "DeleteRows"), "D").otherwise("NotDML")
+
+
+def known(op: Column) -> Column:
+    """op, or an error where it is none of I, U and D: an event that nobody understands must not be skipped."""
+    return F.when(op.isin("I", "U", "D"), op).otherwise(F.raise_error(F.concat(F.lit("unknown event: "), F.coalesce(op, F.lit("null")))))
 
 
 def table_filter(events: DataFrame, schema: str, table: str) -> DataFrame:
@@ -40,8 +46,9 @@ def explode_rows(events: DataFrame) -> DataFrame:
 def split_key_updates(events: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Events with images (before, after: structs) as events by key: an update that changes the key is a delete and an insert.
 
-    sub_seq is doubled, so that the insert comes right after its delete.
+    sub_seq is doubled, so that the insert comes right after its delete.  An unknown op is an error.
     """
+    events = events.withColumn("op", known(F.col("op")))
     same = ~F.lit(False)
     for k in key:
         same = same & F.col(f"before.{k}").eqNullSafe(F.col(f"after.{k}"))
@@ -51,25 +58,37 @@ def split_key_updates(events: DataFrame, key: Sequence[str], values: Sequence[st
         return F.struct((F.col("sub_seq") * 2 + plus).cast("long").alias("sub_seq"), F.lit(op).alias("op"), *fields)
 
     parts = F.when(F.col("op") == "I", F.array(image("I", "after", 0))).when(F.col("op") == "D", F.array(image("D", "before", 0))).when(same, F.array(image("U", "after", 0))).otherwise(F.array(image("D", "before", 0), image("I", "after", 1)))
-    return events.where(F.col("op").isin("I", "U", "D")).select("seq", F.explode(parts).alias("_e")).select("seq", "_e.*")
+    return events.select("seq", F.explode(parts).alias("_e")).select("seq", "_e.*")
+
 
+#: Positions of the log that one state covers, about the square root of a long log's length.
+SPAN = 100_000
 
-def fold(events: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
+
+def fold(events: DataFrame, key: Sequence[str], values: Sequence[str], span: int = SPAN) -> DataFrame:
     """What a log does to each key: deleted (a delete came), inserted (an insert after the last delete), ins_*, upd_*.
 
-    Only events after a key's last delete matter.  Each step is an aggregate
-    with partial sums, so that a key with most of the events is no burden.
+    Only events after a key's last delete matter.  The state of a key over a
+    range of positions (its last delete, then the first insert and the last
+    update after it) is a monoid: ranges combine in the order of the log.
+    Events are folded into ranges of ``span`` positions by partial aggregates,
+    so that of a key's events only one state and the inserts of each range are
+    shuffled; then a key's states are combined.  A key with most of the log's
+    events has as many states as the log has ranges.
     """
-    at = F.struct("seq", "sub_seq")
-    key = list(key)
-    last_delete = events.where("op = 'D'").groupBy(*key).agg(F.max(at).alias("_ld"))
-    live = events.where("op <> 'D'").join(last_delete, key, "left").where(F.col("_ld").isNull() | (at > F.col("_ld")))
-    row = F.struct("seq", "sub_seq", *values)
-    acted = live.groupBy(*key).agg(F.min(F.when(F.col("op") == "I", row)).alias("_i"), F.max(F.when(F.col("op") == "U", row)).alias("_u"))
-    out = acted.join(last_delete, key, "full")
+    key, at, row = list(key), F.struct("seq", "sub_seq"), F.struct("seq", "sub_seq", *values)
+    ranged = events.groupBy(*key, F.floor(F.col("seq") / span).alias("_r")).agg(
+        F.max(F.when(F.col("op") == "D", at)).alias("_d"), F.max(F.when(F.col("op") == "U", row)).alias("_u"), F.collect_list(F.when(F.col("op") == "I", row)).alias("_i"),
+    )
+    after = lambda x: F.col("_d").isNull() | (F.struct(x["seq"], x["sub_seq"]) > F.col("_d"))
+    state = F.struct("_r", F.col("_d").isNotNull().alias("d"), F.array_min(F.filter("_i", after)).alias("i"), F.when(after(F.col("_u")), F.col("_u")).alias("u"))
+    states = ranged.select(*key, state.alias("_s")).groupBy(*key).agg(F.collect_list("_s").alias("_s"))
+    last = F.array_max(F.transform("_s", lambda s: F.when(s["d"], s["_r"])))
+    states = states.withColumn("_last", last).withColumn("_live", F.filter("_s", lambda s: F.col("_last").isNull() | (s["_r"] >= F.col("_last"))))
+    out = states.select(*key, "_last", F.array_min(F.transform("_live", lambda s: s["i"])).alias("_i"), F.array_max(F.transform("_live", lambda s: s["u"])).alias("_u"))
     later = F.col("_i").isNull() | (F.struct("_u.seq", "_u.sub_seq") > F.struct("_i.seq", "_i.sub_seq"))
     return out.select(
-        *key, F.col("_ld").isNotNull().alias("deleted"), F.col("_i").isNotNull().alias("inserted"), (F.col("_u").isNotNull() & later).alias("updated_after"),
+        *key, F.col("_last").isNotNull().alias("deleted"), F.col("_i").isNotNull().alias("inserted"), (F.col("_u").isNotNull() & later).alias("updated_after"),
         F.col("_u").isNotNull().alias("updated"), *(F.col(f"_i.{v}").alias(f"ins_{v}") for v in values), *(F.col(f"_u.{v}").alias(f"upd_{v}") for v in values),
     )
 
