@@ -22,9 +22,15 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType, after: int |
     return df if after is None else df.where(F.col("seq") > after)
 
 
-def stream_log(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 10) -> DataFrame:
-    """Events as a stream; bounded micro-batches hold the backlog back."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def stream_log(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 10, after: int | None = None) -> DataFrame:
+    """Events (after a position) as a stream, with the file that each comes from; bounded micro-batches hold the backlog back."""
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path).select("*", F.col("_metadata.file_path").alias("file"))
+    return df if after is None else df.where(F.col("seq") > after)
+
+
+def file_bounds(spark: SparkSession, path: str, schema: T.StructType, after: int | None = None) -> DataFrame:
+    """(file, low, high): the least and the greatest position (after one) of each file of a log."""
+    return read_log(spark, path, schema, after).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("seq").alias("low"), F.max("seq").alias("high"))
 
 
 def position(log: DataFrame) -> int | None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import TableStore
+
 #: Fixed ids of hints that are overwritten; others are appended from 256 on (fixed values).
 FIXED_IDS = {"heartbeat": 1, "state": 2, "throttle": 3}
 FIRST_FREE_ID = 256
@@ -14,6 +16,32 @@ def hint_id(hint: str, last_id: int = 0) -> int:
     return FIXED_IDS.get(hint, max(FIRST_FREE_ID, last_id + 1))
 
 
+class ControlTable:
+    """The control table as a store: each write is one more row (seq, ord, id, hint, value); of a hint with a fixed id the last one counts."""
+
+    SCHEMA = "seq long, ord long, id long, hint string, value string"
+
+    def __init__(self, store: TableStore, keep: int = 200):
+        self.store, self.keep = store, keep
+
+    def write(self, hint: str, value: str, seq: int | None = None) -> None:
+        m = self.store.manifest()
+        n, last = (m["n"] + 1, m["last_id"]) if m else (1, 0)
+        own = hint_id(hint, last)
+        row = self.store.spark.createDataFrame([(seq, n, own, hint, value)], self.SCHEMA)
+        data = [*(m["data"] if m else []), self.store.write_version(row.coalesce(1))]
+        if len(data) > self.keep:  # written together, as they are a few rows
+            rows = self.store.read(m).union(row)
+            each = F.when(F.col("hint") == "drained", F.col("ord"))  # sentinels stay
+            few = rows.groupBy("hint", each).agg(F.max_by(F.struct("seq", "ord", "id", "hint", "value"), "ord").alias("r")).select("r.*")
+            data = [self.store.write_version(few.coalesce(1))]
+        self.store.swap(data, n=n, last_id=max(last, own if own >= FIRST_FREE_ID else 0))
+        self.store.vacuum()
+
+    def read(self) -> DataFrame:
+        return self.store.read()
+
+
 def latest(log: DataFrame) -> DataFrame:
     """The table that a log of writes (ord, id, hint, value) leaves: the last value of each hint."""
     return log.groupBy("hint").agg(F.max_by("id", "ord").alias("id"), F.max_by("value", "ord").alias("value"))
