@@ -21,15 +21,15 @@ def eta_seconds(percent: Column, copied: Column, estimate: Column, rate: Column,
     return F.when(percent >= 100, F.lit(0.0)).when(percent < 0.1, F.lit(None).cast("double")).when(rate > 0, left / rate).otherwise(elapsed * left / copied)
 
 
-def status_due(elapsed: int, eta: float | None) -> bool:
-    """Is a status line due in this second: often at first and near the end, rarely in between?"""
+def status_due(elapsed: int, eta: float | None, since_interest: float | None = None) -> bool:
+    """Is a status line due in this second?  Every second in the first minute and the last one, every 30 in between.
+
+    Every 5 in the first and last three minutes, and for a minute after a point of interest (a command, a cut-over attempt).
+    """
     if elapsed <= 60 or (eta is not None and eta <= 60):
-        return elapsed % 5 == 0 if elapsed > 60 else True
-    if elapsed <= 180 or (eta is not None and eta <= 180):
-        return elapsed % 5 == 0
-    if elapsed <= 600 or (eta is not None and eta <= 600):
-        return elapsed % 30 == 0
-    return elapsed % 60 == 0
+        return True
+    often = elapsed <= 180 or (eta is not None and eta <= 180) or (since_interest is not None and since_interest <= 60)
+    return elapsed % (5 if often else 30) == 0
 
 
 def pretty(seconds: float) -> str:
@@ -44,8 +44,8 @@ class Fatal(RuntimeError):
     """An error that no retry mends."""
 
 
-def retry(operation: Callable[[], object], attempts: int, longest: float = 0, sleep: Callable[[float], None] = time.sleep):
-    """Run until it succeeds: a second apart, or 2^n seconds up to ``longest``.  Fatal errors end it at once."""
+def retry(operation: Callable[[], object], attempts: int, longest: float = 0, sleep: Callable[[float], None] = time.sleep, failed: Callable[[Exception], None] = lambda e: None):
+    """Run until it succeeds: a second apart, or 2^n seconds up to ``longest``.  Fatal errors end it at once; failed: told of each other one."""
     for k in range(attempts):
         if k:
             sleep(min(longest, max(1, 2 ** (k - 1))) if longest else 1)
@@ -53,7 +53,8 @@ def retry(operation: Callable[[], object], attempts: int, longest: float = 0, sl
             return operation()
         except Fatal:
             raise
-        except Exception:
+        except Exception as e:
             if k == attempts - 1:
                 raise
+            failed(e)
     return None

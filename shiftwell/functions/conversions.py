@@ -42,6 +42,12 @@ def datetime_to_utc(value: Column, zone: str) -> Column:
     return F.convert_timezone(F.lit(zone), F.lit("UTC"), value.cast("timestamp_ntz"))
 
 
+def datetime_to_instant(value: Column, zone: str) -> Column:
+    """The same as a TIMESTAMP of Spark, an instant: what the session's zone is makes no difference."""
+    v = value.cast("timestamp_ntz")
+    return F.make_timestamp_ltz(F.year(v), F.month(v), F.day(v), F.hour(v), F.minute(v), F.date_part(F.lit("SECOND"), v), F.lit(zone))
+
+
 def zero_date(value: Column, strict: bool) -> tuple[Column, Column]:
     """A date text that may have zero parts: its timestamp (null, or an error if strict), and whether it had."""
     odd = F.regexp_like(value, F.lit(r"^0000-|-00")) if isinstance(value, Column) else None
@@ -54,10 +60,6 @@ def json_text(value: Column, canonical: bool = False) -> Column:
     return F.to_json(F.parse_json(value)) if canonical else value
 
 
-def null_if_zero(value: Column) -> Column:
-    return F.nullif(value, F.lit(0))
-
-
 def load_map(text: Column) -> Column:
     """'k=v,k=v' as a map of numbers."""
     return F.transform_values(F.str_to_map(text, F.lit(","), F.lit("=")), lambda _, v: v.cast("long"))
@@ -68,16 +70,13 @@ def lag_seconds(heartbeat: Column, now: Column) -> Column:
     return now.cast("timestamp").cast("double") - heartbeat.cast("timestamp").cast("double")
 
 
-def contains(text: Column, part: Column) -> Column:
-    """LIKE '%part%', with no wildcards in part."""
-    return F.contains(text, part)
-
-
-def convert(value: Column, source: Spec, target: Spec, raw: bool = False) -> Column:
+def convert(value: Column, source: Spec, target: Spec, raw: bool = False, zone: str = "UTC", zero_dates: bool = False) -> Column:
     """A source column's value as the target column's: the one path of copy and replay.
 
     ``raw``: the value comes from the change log as it was written (signed
     numbers, enum indices, bytes); otherwise it is a value of the table.
+    zone: of DATETIME columns without one of their own.  zero_dates: a date
+    text with zero parts becomes null, and is an error otherwise.
     """
     v = value
     if raw:
@@ -90,10 +89,13 @@ def convert(value: Column, source: Spec, target: Spec, raw: bool = False) -> Col
         if source.binary_length:
             v = pad_binary(v, source.binary_length)
     if isinstance(source.type, T.TimestampNTZType) and isinstance(target.type, T.TimestampType):
-        v = datetime_to_utc(v, source.timezone or "UTC")
+        v = datetime_to_instant(v, source.timezone or zone)
     if source.binary_length and target.binary_length > source.binary_length:
         v = pad_binary(v, target.binary_length)
-    v = v.cast(target.type)
+    if isinstance(source.type, T.StringType) and isinstance(target.type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        v = v.try_cast(target.type) if zero_dates else v.cast(target.type)
+    else:
+        v = v.cast(target.type)
     if target.default is not None and not target.nullable:
         v = F.coalesce(v, F.expr(target.default).cast(target.type))
     return v

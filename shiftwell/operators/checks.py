@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import TableSpec
@@ -57,6 +57,37 @@ def warnings(df: DataFrame, target: TableSpec, key: Sequence[str]) -> list[str]:
     return out
 
 
+def batch_warnings(table: DataFrame, events: DataFrame, target: TableSpec, key: Sequence[str]) -> list[str]:
+    """What the target's constraints would report while a batch of events is applied, in the middle of it too.
+
+    Each event's row is checked, not only the last of its key; a value of
+    another unique key is a conflict if two keys of the migration hold it at
+    one time: in the table and in an insert or update, or in two of them,
+    unless the earlier holder was deleted or changed before.
+    """
+    rows = events.where("op <> 'D'")
+    out = warnings(rows.withColumn("_at", F.struct("seq", "sub_seq")), target.with_columns(target.columns, []), key)
+    for k in target.keys:
+        if tuple(k.columns) == tuple(key) or not set(k.columns) <= set(table.columns):
+            continue
+        value = F.struct(*k.columns)
+        known = reduce(Column.__and__, (F.col(c).isNotNull() for c in k.columns))
+        # every version of the touched rows, with the time that it holds its value
+        first = table.join(events.select(*key).distinct(), list(key), "left_semi").select(*key, *k.columns, F.lit(-1).cast("long").alias("seq"), F.lit(0).cast("long").alias("sub_seq"), F.lit("I").alias("op"))
+        versions = first.unionByName(events.select(*key, *k.columns, "seq", "sub_seq", "op"))
+        until = F.lead(F.struct("seq", "sub_seq")).over(Window.partitionBy(*key).orderBy("seq", "sub_seq"))
+        held = versions.withColumn("until", until).where("op <> 'D'").where(known).select(*key, value.alias("value"), F.struct("seq", "sub_seq").alias("since"), "until")
+        still = table.join(events.select(*key).distinct(), list(key), "left_anti").where(known).select(*key, value.alias("value"), F.struct(F.lit(-1).cast("long").alias("seq"), F.lit(0).cast("long").alias("sub_seq")).alias("since"), F.lit(None).cast("struct<seq: bigint, sub_seq: bigint>").alias("until"))
+        both = held.unionByName(still.join(held.select("value").distinct(), "value", "left_semi"))
+        # holders of a value in the order of time: one that comes before all earlier ones of other keys have left conflicts
+        order = Window.partitionBy("value").orderBy("since").rowsBetween(Window.unboundedPreceding, -1)
+        last = F.max(F.struct(F.coalesce("until", F.struct(F.lit((1 << 62)).alias("seq"), F.lit(0).cast("long").alias("sub_seq"))).alias("u"), F.struct(*key).alias("k"))).over(order)
+        bad = both.withColumn("last", last).where((F.col("last.u") > F.col("since")) & (F.col("last.k") != F.struct(*key))).select("value").first()
+        if bad is not None:
+            out.append(f"Duplicate entry {'-'.join(str(x) for x in bad.value)!r} for key '{k.name}'")
+    return out
+
+
 def foreign_key_counts(references: DataFrame, table: str) -> DataFrame:
     """One row: foreign keys in which the table is the child, and the parent.  references: table_name, referenced_table_name."""
     return references.agg(

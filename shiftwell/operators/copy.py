@@ -12,15 +12,15 @@ from ..plans.predicates import between
 from ..spec import TableSpec
 
 
-def project(source: DataFrame, source_spec: TableSpec, target_spec: TableSpec, shared: Sequence[tuple[str, str]], raw: bool = False) -> DataFrame:
-    """source's rows in the target's columns: shared ones converted, others by default, generated ones computed."""
+def project(source: DataFrame, source_spec: TableSpec, target_spec: TableSpec, shared: Sequence[tuple[str, str]], raw: bool = False, **how) -> DataFrame:
+    """source's rows in the target's columns: shared ones converted (how: zone, zero_dates), others by default, generated ones computed."""
     names = {t: s for s, t in shared}
     plain = []
     for c in target_spec.columns:
         if c.generated:
             continue
         if c.name in names:
-            v: Column = convert(F.col(names[c.name]), source_spec.column(names[c.name]), c, raw)
+            v: Column = convert(F.col(names[c.name]), source_spec.column(names[c.name]), c, raw, **how)
         elif c.default is not None:
             v = F.expr(c.default).cast(c.type)
         else:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from .predicates import lexicographic
+from .predicates import lexicographic, union_ranges
 
 
 def key_bounds(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -33,6 +33,11 @@ def chunk_end_of_rest(df: DataFrame, key: Sequence[str], start: Sequence, stop:
     return _open(df, key, start, stop, inclusive).orderBy(*key).limit(size).orderBy(*(F.desc(k) for k in key)).limit(1)
 
 
+def chunk_end_of_union(df: DataFrame, key: Sequence[str], start: Sequence, stop: Sequence, size: int, inclusive: bool = False) -> DataFrame:
+    """As chunk_end_by_offset for a key of two columns, over the union of its disjoint ranges."""
+    return union_ranges(df, key, start, stop, inclusive).select(*key).orderBy(*key).offset(size - 1).limit(1)
+
+
 def next_chunk_end(df: DataFrame, key: Sequence[str], start: Sequence, stop: Sequence, size: int, inclusive: bool = False) -> Row | None:
     """Where the chunk after start ends; None when nothing is left."""
     for f in (chunk_end_by_offset, chunk_end_of_rest):

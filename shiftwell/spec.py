@@ -102,6 +102,13 @@ class Options:
     heartbeat_millis: int = 100
     max_load: dict = field(default_factory=dict)
     critical_load: dict = field(default_factory=dict)
+    critical_load_interval_millis: int = 0  # 0: a critical load ends the run at once
+    critical_load_hibernate_seconds: int = 0
+    lock_timeout_millis: int = 3000
+    write_rows: int = 5_000_000  # of a copy by chunks, written at once
+    throttle_flag_file: str = ""
+    panic_flag_file: str = ""
+    postpone_flag_file: str = ""
 
     def __post_init__(self):
         clamp = lambda v, lo, hi: max(lo, min(hi, v))

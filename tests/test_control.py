@@ -6,6 +6,7 @@ import stat
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftwell.control import commands, hooks, metrics, progress, throttle
 from shiftwell.functions import conversions as conv
@@ -53,7 +54,8 @@ def test_retry():
     with pytest.raises(progress.Fatal):
         progress.retry(fatal, 5, sleep=slept.append)
     assert len(calls) == 6 and progress.pretty(3725) == "1h2m5s" and progress.pretty(9) == "9s"
-    assert progress.status_due(7, None) and not progress.status_due(601, 9999) and progress.status_due(660, 9999)
+    assert progress.status_due(7, None) and not progress.status_due(601, 9999) and progress.status_due(660, 9999) and progress.status_due(630, 9999)
+    assert progress.status_due(901, 59) and progress.status_due(905, 170) and not progress.status_due(903, 170) and progress.status_due(905, 9999, 30) and not progress.status_due(905, 9999, 61)
 
 
 def test_commands():
@@ -100,3 +102,19 @@ def test_charsets(spark):
     assert tuple(df.select(conv.decode_text(F.col("l"), "latin1"), conv.decode_text(F.col("g"), "gbk")).first()) == ("cé€", "汉字")
     assert df.select(conv.decode_text(F.col("l"), None)).first()[0] == bytearray([0x63, 0xE9, 0x80])
     assert spark.sql("select 1").select(conv.json_text(F.lit('{"b": 1, "a": 2}'), canonical=True)).first()[0] == '{"a":2,"b":1}'
+
+
+def test_datetimes_are_instants_in_any_session(spark):
+    """A DATETIME of Tokyo is the same instant whatever the session's zone is."""
+    from shiftwell.spec import Column
+
+    src, to = Column("t", T.TimestampNTZType(), timezone="Asia/Tokyo"), Column("t", T.TimestampType())
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            df = spark.sql("SELECT TIMESTAMP_NTZ '2024-03-10 11:30:00.250000' AS t UNION ALL SELECT TIMESTAMP_NTZ '1969-12-31 23:59:59' UNION ALL SELECT NULL")
+            got = sorted((r[0] for r in df.select(F.unix_micros(conv.convert(F.col("t"), src, to))).collect()), key=str)
+            assert got == sorted([1710037800250000, -32401000000, None], key=str)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -8,13 +8,16 @@ import uuid
 import pytest
 from pyspark.sql import types as T
 
-from shiftwell.control.hooks import Hooks
+from shiftwell.control.hooks import EVENTS, Hooks
+from shiftwell.control.metrics import Metrics
+from shiftwell.control.throttle import Metrics as Pressure
 from shiftwell.migrate import Migration
 from shiftwell.operators import checks
 from shiftwell.sources.changelog import event_schema, stream_log
 from shiftwell.sources.store import RunnerLock, TableStore
 from shiftwell.spec import Column, Options, TableSpec, UniqueKey
-from shiftwell.streaming.apply import Listeners, apply_batch, drained, replay_stream
+from shiftwell.sources.changelog import file_bounds
+from shiftwell.streaming.apply import LateEvents, Listeners, apply_batch, drained, finish, replay_stream
 
 COLS = (Column("id", T.IntegerType(), False), Column("c1", T.IntegerType()), Column("c2", T.StringType()))
 SPEC = TableSpec("t", COLS, (UniqueKey("PRIMARY", ("id",)),))
@@ -65,12 +68,12 @@ def test_migration_equals_source(spark, stores, chunked):
     assert got == {(k, c1, c2, 3) for k, c1, c2 in want.values()}
     assert fired == ["startup", "validated", "before-row-copy", "row-copy-complete", "before-cut-over", "success"]
     assert m.last_checkpoint().is_cutover and not target.exists()
-    # revert: events since the swap reach the old version
+    # revert: the old version gets all events since the snapshot, those after the swap too
     more = [(1000, 0, "d", "t", "I", None, (900, 1, "x")), (1001, 0, "d", "t", "D", next(iter(want.values())), None)]
     m2 = Migration(source, target, SPEC, "CHANGE c2 name varchar(64), ADD COLUMN tier int NOT NULL DEFAULT 3, MODIFY c1 bigint", Options(approve_renames=True))
     m2.revert(log_of(spark, [*ev, *more]))
-    base = {(i, i * 10, f"v{i}") for i in range(200)} | {(900, 1, "x")}
-    assert {tuple(r) for r in source.read().collect()} == {r for r in base if r[0] != next(iter(want.values()))[0]}
+    now = set(want.values()) | {(900, 1, "x")}
+    assert {tuple(r) for r in source.read().collect()} == {r for r in now if r[0] != next(iter(want.values()))[0]}
 
 
 def test_noop_and_refusals(spark, stores):
@@ -102,28 +105,72 @@ def test_instant_change(spark, stores):
     assert {tuple(r) for r in source.read().collect()} == {(*r, None) for r in want.values()}
 
 
+EVENT = "seq long, sub_seq long, op string, id int, c1 int, c2 string"
+
+
 def test_batches_are_applied_once(spark, stores):
     source, _ = stores
-    ev = spark.createDataFrame([(1, 0, "U", 5, 1, "a"), (2, 0, "D", 6, None, None)], "seq long, sub_seq long, op string, id int, c1 int, c2 string")
-    assert apply_batch(source, ev, ["id"], ["c1", "c2"], 0) == 2
+    ev = spark.createDataFrame([(1, 0, "U", 5, 1, "a"), (2, 0, "D", 6, None, None)], EVENT)
+    assert apply_batch(source, ev, ["id"], ["c1", "c2"], 0) == 1  # the last transaction may go on
     n = source.manifest()["number"]
-    assert apply_batch(source, ev, ["id"], ["c1", "c2"], 0) == 2 and apply_batch(source, ev, ["id"], ["c1", "c2"], 1) == 2
-    assert source.manifest()["number"] == n
+    assert apply_batch(source, ev, ["id"], ["c1", "c2"], 0) == 1 and source.manifest()["number"] == n
+    assert finish(source, ["id"], ["c1", "c2"]) == 2 and not source.manifest()["held"]
+    assert source.read().count() == 199 and source.read().where("id = 5").first().c2 == "a"
     control = spark.createDataFrame([(3, "drained", "me"), (9, "drained", "old")], "seq long, hint string, value string")
     assert drained(control, "me", 2) and not drained(control, "old", 2) and not drained(control, "none", 99)
 
 
-def test_stream_equals_batch(spark, stores, tmp_path):
+def test_split_transactions_lose_nothing(spark, stores):
+    """A transaction over two batches, and one that comes before it: all three rows are there; what is late is an error."""
+    source, _ = stores
+    put = lambda rows, b, **k: apply_batch(source, spark.createDataFrame([(s, n, "I", 1000 + 10 * s + n, s, "x") for s, n in rows], EVENT), ["id"], ["c1", "c2"], b, **k)
+    assert put([(5, 0)], 0) == 0
+    assert put([(5, 1), (4, 0)], 1) == 4
+    assert put([(7, 0)], 2) == 6
+    with pytest.raises(LateEvents):
+        put([(5, 2)], 3)
+    finish(source, ["id"], ["c1", "c2"])
+    assert sorted(r.id for r in source.read().where("id >= 1000").collect()) == [1040, 1050, 1051, 1070]
+
+
+def test_only_touched_buckets_are_rewritten(spark, stores):
+    source, _ = stores
+    one = lambda s, k: apply_batch(source, spark.createDataFrame([(s, 0, "U", k, s, "n")], EVENT), ["id"], ["c1", "c2"], close=True)
+    one(1, 5)
+    before = source.manifest()["data"]
+    one(2, 7)
+    after = source.manifest()["data"]
+    bucket = str(spark.range(1).select(source.bucket_of([T_lit(7)], source.manifest()["buckets"])).first()[0])
+    assert {b for b in before if before[b] != after[b]} == {bucket} and len(before) > 1
+    for s in range(3, 9):
+        one(s, s)
+    assert len(source._numbers()) == 3 and source.read().count() == 200 and source.read().where("c2 = 'n'").count() == 6
+
+
+def T_lit(v):
+    from pyspark.sql import functions as F
+
+    return F.lit(v).cast("int")
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_stream_equals_batch(spark, stores, tmp_path, shuffled):
     source, _ = stores
     ev, want = events(5)
+    ev = [(s // 3 + 1, s % 3, *rest) for s, _, *rest in ev]  # transactions of three, some split over files
     files = str(tmp_path / "log")
-    for part in range(4):
-        log_of(spark, ev[part * 60 : part * 60 + 60 if part < 3 else None]).coalesce(1).write.mode("append").parquet(files)
+    parts = [ev[k * 40 : k * 40 + 40] for k in range((len(ev) + 39) // 40)]
+    if shuffled:
+        random.Random(1).shuffle(parts)
+    for part in parts:
+        log_of(spark, part).coalesce(1).write.mode("append").parquet(files)
     from shiftwell.operators.cdc import split_key_updates
 
     schema = event_schema([c.field() for c in COLS])
-    q = replay_stream(stream_log(spark, files, schema, 10), source, lambda df: split_key_updates(df, ["id"], ["c1", "c2"]), ["id"], ["c1", "c2"], str(tmp_path / f"cp{uuid.uuid4().hex}"))
+    bounds = file_bounds(spark, files, schema)
+    q = replay_stream(stream_log(spark, files, schema, 2), source, lambda df: split_key_updates(df, ["id"], ["c1", "c2"]), ["id"], ["c1", "c2"], str(tmp_path / f"cp{uuid.uuid4().hex}"), files=bounds)
     q.awaitTermination()
+    finish(source, ["id"], ["c1", "c2"])
     assert {tuple(r) for r in source.read().collect()} == set(want.values())
 
 
@@ -149,7 +196,9 @@ def test_checksums(spark):
     assert not checks.same_rows(a, b.union(b), ["i", "s"], ["i", "s"]).first()["equal"]
 
 
-def test_resume_after_an_abort(spark, stores):
+@pytest.mark.parametrize("size", [25, 40])
+def test_resume_after_an_abort(spark, stores, size):
+    """Resumed by the last key that is written, also with chunks of another size."""
     source, target = stores
     ev, want = events(7)
     calls = []
@@ -159,14 +208,91 @@ def test_resume_after_an_abort(spark, stores):
         if len(calls) == 6:
             raise RuntimeError("lost")
 
-    o = Options(chunk_size=25, max_retries=1)
-    o.checkpoint_seconds = 0  # after every chunk
-    m = Migration(source, target, SPEC, "add column tier int not null default 3", o, gate=gate)
+    def options(n):
+        o = Options(chunk_size=n, max_retries=1, write_rows=n)
+        o.checkpoint_seconds = 0  # after every group
+        return o
+
+    m = Migration(source, target, SPEC, "add column tier int not null default 3", options(25), gate=gate)
     with pytest.raises(RuntimeError, match="lost"):
         m.run(log_of(spark, ev), chunked=True)
     last = m.last_checkpoint()
-    assert last.iteration == 5 and last.rows_copied == 125 and not last.is_cutover
-    again = Migration(source, target, SPEC, "add column tier int not null default 3", o)
+    assert last.rows_copied == 125 and last.range_max == {"id": 124} and not last.is_cutover
+    again = Migration(source, target, SPEC, "add column tier int not null default 3", options(size))
     again.run(log_of(spark, ev), chunked=True, resume=True)
     assert {tuple(r) for r in source.read().collect()} == {(*r, 3) for r in want.values()}
     assert again.state.rows_copied == 200
+
+
+def test_events_during_the_copy(spark, stores):
+    """The log grows while chunks are copied: deletes, inserts and key changes on both sides of what is copied."""
+    source, target = stores
+    ev, want = events(11)
+    calls, n = [], [0]
+
+    def log():
+        return log_of(spark, ev[: n[0]])
+
+    def gate():
+        calls.append(1)
+        n[0] = min(len(ev), 45 * len(calls))
+
+    metrics = Metrics()
+    m = Migration(source, target, SPEC, "add column tier int not null default 3", Options(chunk_size=20, write_rows=20, panic_on_warnings=True), gate=gate, metrics=metrics)
+    m.run(log, chunked=True)
+    n[0] = len(ev)
+    assert {tuple(r) for r in source.read().collect()} == {(*r, 3) for r in want.values()}
+    assert m.state.events_applied > 0 and len(calls) >= 10
+
+
+def test_cut_over_writes_no_data(spark, stores, tmp_path):
+    source, target = stores
+    m = Migration(source, target, SPEC, "add column tier int not null default 3")
+    m.run(log_of(spark, []))
+    assert all(p.startswith("_t_gho/") for own in source.manifest()["data"].values() for p in own)
+    assert not target.exists() and m.old_table().read().count() == 200 and source.read().count() == 200
+    with pytest.raises(ValueError, match="atomic"):
+        TableStore.__init__(TableStore.__new__(TableStore), spark, "http://nowhere/x", "t")
+
+
+def test_control_plane(spark, stores, tmp_path):
+    """Commands, postponement, hooks, heartbeat, critical load and flag files take part in a run."""
+    source, target = stores
+    fired, lines, waits = [], [["throttle"], ["no-throttle", "postpone"], ["chunk-size=50"], ["unpostpone"]], []
+    hooks = Hooks()
+    for e in EVENTS:
+        hooks.on(e, lambda f, e=e: fired.append(e))
+    load = iter([1, 9] + [1] * 1000)
+    o = Options(critical_load={"x": 5}, critical_load_interval_millis=5, two_step_cutover=True, analyze_before_cutover=True, timestamp_old_table=True)
+    m = Migration(source, target, SPEC, "add column tier int not null default 3", o, hooks, pressure=lambda: Pressure(load={"x": next(load)}), inbox=lambda: lines.pop(0) if lines else [], sleep=waits.append)
+    m.run(log_of(spark, []))
+    assert {"rowcount-complete", "begin-postponed", "interactive-command", "status", "stop-replication", "start-replication", "success"} <= set(fired)
+    assert waits and o.chunk_size == 50 and m.control.read().where("hint = 'heartbeat'").count() > 0
+    assert m.control.read().where("hint = 'drained'").count() == 1 and len(m.old_table().name) > len("_t_del")
+    again = Migration(source, target, m.target_spec, "add column more int", Options(panic_flag_file=str(tmp_path)))
+    with pytest.raises(Exception, match="panic"):
+        again.run(log_of(spark, [], m.target_spec))
+    busy = Migration(source, target, m.target_spec, "add column more int", Options(critical_load={"x": 5}), pressure=lambda: Pressure(load={"x": 9}))
+    with pytest.raises(Exception, match="critical-load"):
+        busy.run(log_of(spark, [], m.target_spec))
+
+
+def test_warnings_in_the_middle_of_a_batch(spark, stores):
+    """A duplicate that a later event of the batch takes back is still one; a value that is free by then is none."""
+    source, target = stores
+    bad = [(1, 0, "d", "t", "I", None, (500, 1, "v1")), (2, 0, "d", "t", "D", (500, 1, "v1"), None)]
+    fine = [(1, 0, "d", "t", "D", (1, 10, "v1"), None), (2, 0, "d", "t", "I", None, (500, 1, "v1"))]
+    run = lambda ev: Migration(source, target, SPEC, "add unique key n (c2)", Options(panic_on_warnings=True, max_retries=1)).run(log_of(spark, ev))
+    with pytest.raises(Exception, match="Duplicate entry 'v1' for key 'n'"):
+        run(bad)
+    run(fine)
+    assert source.read().where("c2 = 'v1'").first().id == 500
+
+
+def test_a_lock_left_behind(spark, stores):
+    source, _ = stores
+    lock = RunnerLock(source)
+    assert source._fs.createNewFile(lock.file)
+    source._fs.setTimes(lock.file, 1000, -1)
+    with RunnerLock(source), pytest.raises(RuntimeError, match="already"):
+        RunnerLock(source).__enter__()
