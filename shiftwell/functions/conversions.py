@@ -80,8 +80,9 @@ def convert(value: Column, source: Spec, target: Spec, raw: bool = False, zone:
     """
     v = value
     if raw:
-        if source.enum and not isinstance(source.type, T.StringType):
-            v = enum_text(v, source.enum)
+        if source.enum:  # an index; a text stays as it is
+            index = v.try_cast("int")
+            v = F.when(index.isNotNull(), enum_text(index, source.enum)).otherwise(v.cast("string"))
         if source.unsigned_bits:
             v = unsigned(v, source.unsigned_bits)
         if source.charset:

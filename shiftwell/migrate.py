@@ -320,8 +320,8 @@ class Migration:
             n = part.count()
             if self.options.panic_on_warnings and (found := checks.batch_warnings(self.target.read(), self.events(part), self.target_spec, self.mapped_key)):
                 raise Fatal("; ".join(found))
-            with self.metrics.timed("apply.batch"):
-                apply_batch(self.target, self.events(part), self.mapped_key, self.values, upto=upto)
+            with self.metrics.timed("apply.batch"):  # after a failure again from the applied position
+                retry(lambda part=part, upto=upto: apply_batch(self.target, self.events(part), self.mapped_key, self.values, upto=upto), self.options.max_retries, self.options.exponential_backoff_max, self.sleep)
             s.applied_seq, s.events_applied = upto, s.events_applied + n
             self.metrics.gauge("apply.events", s.events_applied)
             if upto >= (ends.high if close else ends.high - 1):

@@ -16,9 +16,15 @@ def row_count(df: DataFrame) -> DataFrame:
 
 
 def row_estimate(df: DataFrame) -> int | None:
-    """Rows by the statistics of the plan, without a job; None where none were gathered."""
-    count = df._jdf.queryExecution().optimizedPlan().stats().rowCount()
-    return int(str(count.get())) if count.isDefined() else None
+    """Rows by the statistics of the catalog (ANALYZE TABLE), without a job; None where none were gathered."""
+    conf, name = df.sparkSession.conf, "spark.sql.cbo.planStats.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        count = df.select("*")._jdf.queryExecution().optimizedPlan().stats().rowCount()
+        return int(str(count.get())) if count.isDefined() else None
+    finally:
+        conf.set(name, before)
 
 
 def null_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:

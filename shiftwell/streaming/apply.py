@@ -14,13 +14,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..control.progress import Fatal
 from ..operators.cdc import apply_log
 from ..sources.store import TableStore
 
 SENTINEL = "drained"
 
 
-class LateEvents(RuntimeError):
+class LateEvents(Fatal):
     """Events came after the transactions they belong before, or to, had been applied."""
 
 

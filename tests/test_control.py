@@ -118,3 +118,42 @@ def test_datetimes_are_instants_in_any_session(spark):
             assert got == sorted([1710037800250000, -32401000000, None], key=str)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_statsd():
+    import socket
+
+    box = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+    box.bind(("127.0.0.1", 0))
+    box.settimeout(5)
+    m = metrics.Metrics(tags={"table": "t"})
+    m.add_sink(metrics.statsd_sink("127.0.0.1", box.getsockname()[1]))
+    m.gauge("row_copy.rows", 5), m.count("x", 2)
+    assert {box.recv(999), box.recv(999)} == {b"shiftwell.row_copy.rows:5|g|#table:t", b"shiftwell.x:2|c|#table:t"}
+
+
+def test_control_table_keeps_what_counts(spark, tmp_path):
+    """Writes beyond ``keep`` are put together: the last value of each hint, and all sentinels."""
+    from shiftwell.sources.control import ControlTable, heartbeat_lag, latest
+    from shiftwell.sources.store import TableStore
+
+    c = ControlTable(TableStore(spark, str(tmp_path), "_t_ghc"), keep=3)
+    for k in range(5):
+        c.write("heartbeat", f"2024-01-01T00:00:0{k}Z")
+    c.write("drained", "me", seq=17)
+    c.write("note", "a"), c.write("state", "copying")
+    got = {r.hint: r.value for r in latest(c.read()).collect()}
+    assert got == {"heartbeat": "2024-01-01T00:00:04Z", "drained": "me", "note": "a", "state": "copying"} and c.read().count() <= 6
+    assert heartbeat_lag(c.read(), F.lit("2024-01-01T00:00:06.5Z")).first()[0] == 2.5 and c.read().where("hint = 'drained'").first().seq == 17
+
+
+def test_row_estimate(spark, tmp_path):
+    from shiftwell.operators import checks
+
+    spark.sql("CREATE TABLE est_t USING parquet AS SELECT id FROM range(70)")
+    try:
+        assert checks.row_estimate(spark.table("est_t")) is None or checks.row_estimate(spark.table("est_t")) == 70
+        spark.sql("ANALYZE TABLE est_t COMPUTE STATISTICS")
+        assert checks.row_estimate(spark.table("est_t")) == 70
+    finally:
+        spark.sql("DROP TABLE est_t")
