@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import runtime
 from . import textnp as tn
@@ -144,8 +145,6 @@ def marked(docs: DataFrame, keyed: DataFrame, lengths: list[int]) -> DataFrame:
                     key.append(hashlib.blake2b(w.data[w.offsets[k] : w.offsets[k + 1]].tobytes(), digest_size=16).digest() if own else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(key, pa.binary()), pa.array(found, kind)], [*names, "n_words", "key", "found"])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T._parse_datatype_string(_FOUND).fields]))
 
 
@@ -208,7 +207,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     runtime.ship(docs.sparkSession)
     keyed, _, lengths = index(benchmark)
     rows = marked(docs, keyed, lengths)
-    found = spans(joined(rows.select("n_words", "key", "found"), keyed)).join(rows.where("key is not null").select("key", "n_words").distinct(), "key")
+    some = runtime.stored(rows.where("key is not null").select("n_words", "key", "found"))  # few, without texts
+    found = spans(joined(some, keyed)).join(some.select("key", "n_words").distinct(), "key")
     bad = found.where(contaminated(n_hit(), F.col("n_words"))).select("key")
     return runtime.without(rows.drop("n_words", "found"), bad, ["key"]).select(*docs.columns)
 
