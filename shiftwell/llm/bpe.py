@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import tempfile
 import uuid
 from collections import Counter
 
@@ -324,7 +323,7 @@ def prepare(docs: DataFrame, path: str, limit: int = LEXICON) -> str:
     vocab = _vocabulary(path)
     words = {w.encode(): vocab.merge(w.encode()) for w in frequent(docs, path, limit)}
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    at = os.path.join(tempfile.mkdtemp(prefix="shiftwell-"), name)
+    at = os.path.join(runtime.scratch(), name)
     Lexicon.save(compile_lexicon(words), at)
     spark.sparkContext.addFile(at)
     return name

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -81,6 +82,13 @@ def _sent(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= SMALL_KEYS else keys
 
 
+def scratch() -> str:
+    """A folder on the driver for a file that Spark ships; gone at the end of the program."""
+    at = tempfile.mkdtemp(prefix="shiftwell-")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    return at
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, once for each application.
 
@@ -96,7 +104,7 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
     if str(root) in os.environ.get("PYTHONPATH", "").split(":"):
         return
-    at = Path(tempfile.mkdtemp(prefix="shiftwell-")) / "shiftwell_src.zip"
+    at = Path(scratch()) / "shiftwell_src.zip"
     with zipfile.ZipFile(at, "w") as z:
         for p in sorted((root / "shiftwell").rglob("*.py")):
             z.write(p, p.relative_to(root))

@@ -40,6 +40,24 @@ def test_isotonic_by_its_definition():
         assert np.allclose(np.interp(s, *quality.isotonic(s, y)), want)
 
 
+def test_scores_without_two_classes(spark, docs):
+    for n, y, share in ((10, 1, 11 / 12), (5, 0, 1 / 7), (0, 1, 1 / 2)):
+        ids = [r.doc_id for r in docs.orderBy("doc_id").limit(n).collect()]
+        labels = spark.createDataFrame([(k, y) for k in ids], "doc_id long, quality int")
+        got = {r.score for r in quality.classify(docs.limit(50), labels.where(F.col("doc_id").isin(ids)), F.lit(True)).collect()}
+        known = docs.limit(50).where(F.col("doc_id").isin(ids)).count()
+        assert np.allclose(list(got), (known * y + 1) / (known + 2)) and (known < n or np.allclose(list(got), share))
+
+
+def test_many_rows_of_one_label(spark, docs):
+    """An id that comes very often doesn't fill the sample: rows are chosen, not ids."""
+    text = [r.text for r in docs.where("text is not null").limit(40).collect()]
+    many = spark.createDataFrame([(1 if k < 30 else k, f"{t} {j}") for k, t in enumerate(text) for j in range(20)], "doc_id long, text string")
+    s = stats.document_stats(many).select("doc_id", "stats")
+    y = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, y int")
+    assert runtime.learnable(s, y, 100).count() < 250
+
+
 # -- toxicity
 
 

@@ -137,6 +137,27 @@ def test_two_texts_of_one_id(spark):
     assert left in ([25, 135], [75, 85])
 
 
+def test_phrase_in_every_document(spark, monkeypatch):
+    """Windows of a frequent anchor are dealt over all buckets, and copies among them are found as before."""
+    monkeypatch.setattr(substring, "HOT_SHARE", 1)
+    rng = random.Random(6)
+    phrase = " ".join(f"common{k}" for k in range(12))
+    text = [" ".join([*(f"a{i}x{rng.randrange(10**6)}" for _ in range(14)), phrase, *(f"b{i}x{rng.randrange(10**6)}" for _ in range(14))]) for i in range(1500)]
+    rows = dict(enumerate(text + text[:3]))
+    own = substring._own(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(6), "doc_id")
+    most = {}
+    for least in (10**9, 500):
+        monkeypatch.setattr(substring, "HOT_WINDOWS", least)
+        marks = substring._frequent(own)
+        assert marks.any() == (least == 500)
+        hot = spark.sparkContext.broadcast(marks)
+        sizes = own.mapInArrow(substring._nominate(16, hot), substring.NOMINATED).where("blob is not null").selectExpr("bucket", "length(blob) as n").groupBy("bucket").sum("n").collect()
+        most[least] = max(r[1] for r in sizes) / sum(r[1] for r in sizes)
+    assert most[500] < most[10**9] / 2
+    got = {r.doc: r.n for r in substring.apply(own.select(own.doc.alias("doc_id"), "text"), lambda words, kept: (len(kept),), "n long").collect()}
+    assert got == {k: len(v) for k, v in plain_dedup(rows).items()}
+
+
 def test_substring_odd_rows(spark, odd):
     out = substring.deduplicate(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
