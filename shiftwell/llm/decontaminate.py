@@ -203,14 +203,16 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated; texts are not shuffled while few of them are."""
+    """The rows of docs that are not contaminated, whatever else their columns are called; texts are not shuffled while few of them are."""
     runtime.ship(docs.sparkSession)
     keyed, _, lengths = index(benchmark)
-    rows = marked(docs, keyed, lengths)
+    inner = {c: f"_{k}" for k, c in enumerate(docs.columns) if c != "text"}  # no clash with the columns that are added
+    rows = marked(docs.withColumnsRenamed(inner), keyed, lengths)
     some = runtime.stored(rows.where("key is not null").select("n_words", "key", "found"))  # few, without texts
     found = spans(joined(some, keyed)).join(some.select("key", "n_words").distinct(), "key")
     bad = found.where(contaminated(n_hit(), F.col("n_words"))).select("key")
-    return runtime.without(rows.drop("n_words", "found"), bad, ["key"]).select(*docs.columns)
+    kept = runtime.without(rows.drop("n_words", "found"), bad, ["key"]).drop("key")
+    return kept.withColumnsRenamed({v: k for k, v in inner.items()}).select(*docs.columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,15 +200,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", most: int = BITS) -> Da
     """
     runtime.ship(docs.sparkSession)
     names = docs.columns
-    hashed = docs.withColumns({"_a": F.xxhash64(*names), "_b": F.xxhash64(F.lit(1), *names)})
-    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_a").alias("a"), F.col("_b").alias("b"))
-    marked = runtime.stored(with_fingerprints(hashed.select(row.alias("_row"), "text"), "_row"))
-    own, total = _named(marked, F.col("_row"), most)
-    judged = star_join(marked, own, "fp", total).groupBy("_row").agg(F.min("component").alias("component"), F.count("*").alias("n"))
-    judged = runtime.stored(judged.select("_row", (F.col("_row") == F.col("component")).alias("stays"), "n").where("not stays or n > 1"))
-    keys = judged.select(F.col("_row.a").alias("_a"), F.col("_row.b").alias("_b"), "stays")
-    kept = runtime.without(hashed, keys.select("_a", "_b"), ["_a", "_b"])
-    repeated = runtime.within(hashed, keys.where("stays").select("_a", "_b"), ["_a", "_b"]).dropDuplicates(["_a", "_b"])
+    hashed = docs.withColumns({"_near_a": F.xxhash64(*names), "_near_b": F.xxhash64(F.lit(1), *names)})
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_near_a").alias("a"), F.col("_near_b").alias("b"))
+    marked = runtime.stored(with_fingerprints(hashed.select(row.alias("_near_row"), "text"), "_near_row"))
+    own, total = _named(marked, F.col("_near_row"), most)
+    judged = star_join(marked, own, "fp", total).groupBy("_near_row").agg(F.min("component").alias("component"), F.count("*").alias("n"))
+    judged = runtime.stored(judged.select("_near_row", (F.col("_near_row") == F.col("component")).alias("stays"), "n").where("not stays or n > 1"))
+    keys = judged.select(F.col("_near_row.a").alias("_near_a"), F.col("_near_row.b").alias("_near_b"), "stays")
+    kept = runtime.without(hashed, keys.select("_near_a", "_near_b"), ["_near_a", "_near_b"])
+    repeated = runtime.within(hashed, keys.where("stays").select("_near_a", "_near_b"), ["_near_a", "_near_b"]).dropDuplicates(["_near_a", "_near_b"])
     return kept.union(repeated).select(*names)
 
 
