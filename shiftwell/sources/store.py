@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 #: Schemes of file systems whose rename is atomic and fails where the name exists.
 ATOMIC = ("file", "hdfs", "viewfs", "abfs", "abfss")
 BUCKET = "_bucket"
-BUCKET_BYTES, MAX_BUCKETS = 128 << 20, 4096
+BUCKET_BYTES, MAX_BUCKETS = 128 << 20, 1 << 16
 
 
 class TableStore:
@@ -112,7 +112,8 @@ class TableStore:
     def write_buckets(self, df: DataFrame, key: Sequence[str], n: int) -> dict[str, list[str]]:
         """New data by bucket of the key, which no manifest names yet; a bucket without rows has no folder."""
         at = f"{self.name}/data/{uuid.uuid4().hex}"
-        df.withColumn(BUCKET, self.bucket_of(key, n)).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{self.root}/{at}")
+        # rebalanced: small buckets share a task, large ones are split over several
+        df.withColumn(BUCKET, self.bucket_of(key, n)).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{self.root}/{at}")
         found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{at}")) if s.isDirectory()]
         return {d.split("=")[1]: [f"{at}/{d}"] for d in found if d.startswith(f"{BUCKET}=")}
 
