@@ -107,7 +107,7 @@ def test_leaf_on_a_cycle(spark):
 @pytest.mark.parametrize("most", [100_000, 300])
 def test_many_rules(spark, most):
     """Lists as long as one cascade takes, and lists in parts, against a dictionary."""
-    n = 100_000 if most == 100_000 else 1000
+    n = 100_000 if most == 100_000 else 500
     rules = spark.range(n).selectExpr("concat('h', id, '.org') as host", "if(id % 3 = 0, '/a', '/') as path", "if(id % 5 = 0, 'allow', 'block') as verdict")
     rules = rules.union(spark.sql("select 'org', '/', 'block'")).union(spark.sql("select 'h6.org', '/a', 'block'"))
     pages = spark.range(0, 4000).selectExpr("id as page_id", "concat('http://x.h', id * 50, '.org/', if(id % 2 = 0, 'a/b', 'b')) as url", "1 as rule")
