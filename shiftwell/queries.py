@@ -568,7 +568,7 @@ def cdc_stream_replay(spark, d):
     log.withColumn("_f", place).repartitionByRange(40, "_f").drop("_f").write.parquet(files)
     schema = T.StructType([T.StructField(n, k) for n, k in (("seq", T.LongType()), ("sub_seq", T.LongType()), ("op", T.StringType()), ("user_id", T.LongType()), ("value", T.DoubleType()))])
     bounds = file_bounds(spark, files, schema)
-    replay_stream(stream_log(spark, files, schema, 12), store, lambda x: x, ["user_id"], ["value"], f"{root}/checkpoint", files=bounds).awaitTermination()
+    replay_stream(stream_log(spark, files, schema, 20), store, lambda x: x, ["user_id"], ["value"], f"{root}/checkpoint", files=bounds).awaitTermination()
     finish(store, ["user_id"], ["value"])
     out = cut(store.read())
     store._fs.delete(store._path(root), True)
