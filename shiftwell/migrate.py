@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .control.commands import Commands
 from .control.hooks import Hooks
-from .control.metrics import Metrics
+from .control.metrics import Metrics, utilization
 from .control.progress import Fatal, retry, status_due
 from .control.throttle import CriticalLoad, Gate
 from .control.throttle import Metrics as Pressure
@@ -81,6 +81,7 @@ class Migration:
         self.gate = gate or Gate(self._pressure, sleep=self._wait)
         self.n_rows, self.began, self.beat, self.interest, self.said = 0, time.time(), 0.0, None, -1
         self.hibernate_until: float | None = None
+        self.waited: str | None = None
 
     # -- preparation
 
@@ -142,6 +143,31 @@ class Migration:
         """A pause of the throttle: commands are still read, and the heart beats."""
         self._listen()
         self._heartbeat()
+        self.metrics.gauge("throttle.active", 1)
+        self.waited = getattr(self.gate, "last", None) or "cut-over"
+        self.sleep(seconds)
+
+    def _measure(self) -> None:
+        """Gauges of progress and lag."""
+        s, m = self.state, self.pressure()
+        self.metrics.gauge("row_copy.rows_copied", s.rows_copied)
+        self.metrics.gauge("row_copy.rows_estimate", self.n_rows)
+        self.metrics.gauge("dml.events_applied", s.events_applied)
+        throttled = str(self.waited is not None).lower()
+        self.metrics.gauge("lag.replication_seconds", m.lag_millis / 1000, throttled=throttled)
+        self.metrics.gauge("lag.heartbeat_seconds", max(0.0, time.time() - self.beat), throttled=throttled)
+
+    def _backlog(self, size: int) -> None:
+        """Positions of the log that are still to be applied, against those of one batch."""
+        capacity = self.options.dml_batch_size * cdc.SPAN
+        self.metrics.gauge("binlog.backlog_size", size)
+        self.metrics.gauge("binlog.backlog_capacity", capacity)
+        self.metrics.gauge("binlog.backlog_utilization", utilization(size, capacity))
+
+    def _rest(self, seconds: float) -> None:
+        """The pause that the nice ratio asks for."""
+        self.metrics.histogram("sleep.duration_milliseconds", 1000 * seconds)
+        self.metrics.count("sleep.total_milliseconds", 1000 * seconds)
         self.sleep(seconds)
 
     def _listen(self) -> None:
@@ -165,15 +191,19 @@ class Migration:
         s = self.status()
         if int(s["elapsed"]) != self.said and status_due(int(s["elapsed"]), s["eta"], None if self.interest is None else time.time() - self.interest):
             self.said = int(s["elapsed"])
-            for k in ("copied", "percent", "eta", "events"):
-                if s[k] is not None:
-                    self.metrics.gauge(f"status.{k}", s[k])
+            self._measure()
             self.hooks.fire("status", table=self.spec.name, **s)
+        began, self.waited = time.time(), None
         while True:
             try:
-                return self.gate()
+                self.gate()
+                break
             except CriticalLoad:
                 self._critical()
+        self.metrics.gauge("throttle.active", 0)
+        if self.waited is not None:
+            self.metrics.histogram("throttle.duration_milliseconds", 1000 * (time.time() - began), reason=self.waited)
+            self.metrics.count("throttle.events_total", 1, reason=self.waited)
 
     def _critical(self) -> None:
         """A critical load ends the run, unless it is gone after an interval, or the run is to sleep through it."""
@@ -226,15 +256,16 @@ class Migration:
             self.turn()
             self.apply_copied(log)
             began = time.time()
-            retry(lambda lo=lo, hi=hi: self._write_group(src, lo, hi, log), o.max_retries, o.exponential_backoff_max, self.sleep, lambda e: self.hooks.fire("batch-copy-retry", table=self.spec.name, error=str(e)))
+            with self.metrics.timed("query.duration_milliseconds", side="target", kind="copy"):
+                retry(lambda lo=lo, hi=hi: self._write_group(src, lo, hi, log), o.max_retries, o.exponential_backoff_max, self.sleep, lambda e: self.hooks.fire("batch-copy-retry", table=self.spec.name, error=str(e)))
             s.iteration, s.rows_copied = number + 1, s.rows_copied + n
             s.range_min, s.range_max = dict(zip(names, lo, strict=True)), dict(zip(names, hi, strict=True))
-            self.metrics.gauge("row_copy.rows", s.rows_copied)
+            self.metrics.gauge("row_copy.rows_copied", s.rows_copied)
             if time.time() - saved >= o.checkpoint_seconds:
                 self.checkpoint()
                 saved = time.time()
             if o.nice_ratio:
-                self.sleep(o.nice_ratio * (time.time() - began))
+                self._rest(o.nice_ratio * (time.time() - began))
         if s.applied_seq > s.snapshot_seq:  # keys above all that were in the snapshot
             self._write_group(src.limit(0), None, None, log)
 
@@ -320,10 +351,11 @@ class Migration:
             n = part.count()
             if self.options.panic_on_warnings and (found := checks.batch_warnings(self.target.read(), self.events(part), self.target_spec, self.mapped_key)):
                 raise Fatal("; ".join(found))
-            with self.metrics.timed("apply.batch"):  # after a failure again from the applied position
+            self._backlog(ends.high - ends.low + 1)
+            with self.metrics.timed("query.duration_milliseconds", side="target", kind="apply"):  # after a failure again from the applied position
                 retry(lambda part=part, upto=upto: apply_batch(self.target, self.events(part), self.mapped_key, self.values, upto=upto), self.options.max_retries, self.options.exponential_backoff_max, self.sleep)
             s.applied_seq, s.events_applied = upto, s.events_applied + n
-            self.metrics.gauge("apply.events", s.events_applied)
+            self.metrics.gauge("dml.events_applied", s.events_applied)
             if upto >= (ends.high if close else ends.high - 1):
                 return s.applied_seq
 
@@ -415,36 +447,48 @@ class Migration:
         """Swap the target in: one manifest of the source names the target's folders, and the old ones for a revert; no data is written."""
         self._may_cut_over()
         self.hooks.fire("before-cut-over", table=self.spec.name)
-        o, s = self.options, self.state
+        outcome = "error"
+        try:
+            with self.metrics.timed("cut_over.total_duration_milliseconds"):
+                m, old = self._critical_part(log)
+            outcome = "success"
+        finally:
+            self.metrics.count("cut_over.attempts_total", 1, outcome=outcome)
+        self.state.is_cutover = True
+        self.checkpoint()
+        if self.options.ok_to_drop:
+            self.source.drop_data(old)
+            self.old_table().drop()
+        self.target.release()
+        self.hooks.fire("success", table=self.spec.name)
+        return m
+
+    def _critical_part(self, log: Callable[[], DataFrame]) -> tuple[dict, dict]:
+        """Drain the log up to a sentinel, check, and swap; nothing waits here."""
+        o, s, phase = self.options, self.state, lambda p: self.metrics.timed("cut_over.phase_duration_milliseconds", phase=p)
         self.hooks.fire("stop-replication", table=self.spec.name)
         try:
             if isinstance(self.gate, Gate):
-                self.gate.suppressed = True  # nothing waits in the critical part
-            final = log()
-            end = final.agg(F.max("seq")).first()[0]
-            sentinel = f"drained:{uuid.uuid4().hex}"
-            self.control.write("drained", sentinel, seq=(end if end is not None and end > s.applied_seq else s.applied_seq) + 1)
-            self.replay(final, close=True)
-            finish(self.target, self.mapped_key, self.values)
-            if not drained(self.control.read(), sentinel, s.applied_seq):
-                raise Fatal("the log is not drained")
+                self.gate.suppressed = True
+            with phase("drain"):
+                final = log()
+                end = final.agg(F.max("seq")).first()[0]
+                sentinel = f"drained:{uuid.uuid4().hex}"
+                self.control.write("drained", sentinel, seq=(end if end is not None and end > s.applied_seq else s.applied_seq) + 1)
+                self.replay(final, close=True)
+                finish(self.target, self.mapped_key, self.values)
+                if not drained(self.control.read(), sentinel, s.applied_seq):
+                    raise Fatal("the log is not drained")
             self._warned()
             if o.analyze_before_cutover:
-                n = checks.row_count(self.target.read()).first()[0]
-                self.metrics.gauge("cut_over.rows", n)
-            m, old = self._swap()
+                self.n_rows = checks.row_count(self.target.read()).first()[0]
+                self.metrics.gauge("row_copy.rows_estimate", self.n_rows)
+            with phase("swap"):
+                return self._swap()
         finally:
             if isinstance(self.gate, Gate):
                 self.gate.suppressed = False
             self.hooks.fire("start-replication", table=self.spec.name)
-        s.is_cutover = True
-        self.checkpoint()
-        if o.ok_to_drop:
-            self.source.drop_data(old)
-            self.old_table().drop()
-        self.target.release()
-        self.hooks.fire("success", table=self.spec.name)
-        return m
 
     def old_table(self) -> TableStore:
         """The version before the swap, under its own name."""

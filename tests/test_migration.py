@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import types as T
 
 from shiftwell.control.hooks import EVENTS, Hooks
-from shiftwell.control.metrics import Metrics
+from shiftwell.control.metrics import NAMES, Metrics
 from shiftwell.control.throttle import Metrics as Pressure
 from shiftwell.migrate import Migration
 from shiftwell.operators import checks
@@ -243,6 +243,8 @@ def test_events_during_the_copy(spark, stores):
     n[0] = len(ev)
     assert {tuple(r) for r in source.read().collect()} == {(*r, 3) for r in want.values()}
     assert m.state.events_applied > 0 and len(calls) >= 10
+    names = {n.removeprefix("shiftwell.") for _, _, n, _, _ in metrics.rows}
+    assert names <= set(NAMES) and {"row_copy.rows_copied", "dml.events_applied", "query.duration_milliseconds", "cut_over.attempts_total", "binlog.backlog_utilization"} <= names
 
 
 def test_cut_over_writes_no_data(spark, stores, tmp_path):
@@ -267,6 +269,8 @@ def test_control_plane(spark, stores, tmp_path):
     m = Migration(source, target, SPEC, "add column tier int not null default 3", o, hooks, pressure=lambda: Pressure(load={"x": next(load)}), inbox=lambda: lines.pop(0) if lines else [], sleep=waits.append)
     m.run(log_of(spark, []))
     assert {"rowcount-complete", "begin-postponed", "interactive-command", "status", "stop-replication", "start-replication", "success"} <= set(fired)
+    names = {n.removeprefix("shiftwell."): t for _, _, n, _, t in m.metrics.rows}
+    assert names["throttle.events_total"] == {"reason": "commanded by user"} and names["cut_over.attempts_total"] == {"outcome": "success"}
     assert waits and o.chunk_size == 50 and m.control.read().where("hint = 'heartbeat'").count() > 0
     assert m.control.read().where("hint = 'drained'").count() == 1 and len(m.old_table().name) > len("_t_del")
     again = Migration(source, target, m.target_spec, "add column more int", Options(panic_flag_file=str(tmp_path)))
