@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import sys
 import time
 
 import duckdb
@@ -218,6 +219,44 @@ def test_bpe_hard_texts(tokenizer, tmp_path):
         assert e.decode(ids) == t
 
 
+def test_bpe_cuts_as_the_library(tokenizer, tmp_path, monkeypatch):
+    """Random mixtures of blanks, apostrophes, special tokens and all sorts of characters, in portions of any size."""
+    v = bpe.Vocabulary(bpe.default_path())
+    rng = random.Random(7)
+    bits = [" ", " ", " ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "'", "'", "'s", "'ll", "'re", "'d", "l", "v", "e", "S", "é", "ſ", "7", "²", "٠", "!", "’", "漢", "\U0001f600", "\u0301", "<|endoftext|>", "<|endof", "text|>", "<|endoftext|"]
+    hard = ["".join(rng.choices(bits, k=rng.randrange(14))) for _ in range(6000)] + ["<|endof", "text|>", "", "'", "s", " ", "'l", "l", "\u3000"]
+    hard += [f"a{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}{chr(c)}'s" for c in rng.sample([*range(0xD800), *range(0xE000, 0x110000)], 3000)]
+    hard += ["".join(rng.choices("qxzjé ", k=300)) for _ in range(20)] + ["x" * 255, "é" * 128, "x" * 256 + "y", "<|endoftext|>" * 3]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in hard]
+    for known in ({}, {w: v.ids(w) for w in (b" ", b"'s", b"!", b"<|endoftext|>")}):
+        bpe.Lexicon.save(bpe.compile_lexicon(known), str(tmp_path / f"l{len(known)}"))
+        e = bpe.Encoder(v, bpe.Lexicon(str(tmp_path / f"l{len(known)}")))
+        for size in (1, 700, 4 << 20):
+            monkeypatch.setattr(bpe, "PORTION", size)
+            got = e.encode(hard)
+            assert [np.frombuffer(i, "<u4").tolist() for i in got] == want
+            assert [e.decode(i) for i in got] == hard
+    for ids in ([v.single[0xE6], v.single[0xBC]], [v.single[0xFF], v.single[0x41]], []):
+        assert e.decode(np.array(ids, "<u4").tobytes()) == tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_works_in_bulk(tmp_path):
+    """No calls for each word, known or not."""
+    v = bpe.Vocabulary(bpe.default_path())
+    bpe.Lexicon.save(bpe.compile_lexicon({b" the": v.merge(b" the")}), str(tmp_path / "l"))
+    e = bpe.Encoder(v, bpe.Lexicon(str(tmp_path / "l")))
+    rng = random.Random(3)
+    texts = [" ".join("the" if rng.random() < 0.5 else "".join(rng.choices("abcdefgh", k=7)) for _ in range(100)) for _ in range(200)]
+    calls = [0]
+    sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + (event in ("call", "c_call"))))
+    try:
+        ids = e.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert [e.decode(i) for i in ids] == texts
+    assert calls[0] < 200 * 100 / 4
+
+
 # -- SimHash
 
 
